@@ -1,0 +1,119 @@
+"""Secret scan: fixed patterns, and windows of high Shannon entropy per character class.
+
+Candidates are runs of the letters that keys are written in.  A window slides
+over each candidate; the counts of its characters, and with them its entropy,
+are updated by the character that enters and the one that leaves.  Windows over
+the threshold of the candidate's class are joined into spans.  An allow-list
+suppresses candidates that are known to be harmless.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: (kind, what the whole candidate must match, window, bits per character); the first that fits holds.
+CLASSES = (
+    ("entropy_hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 20, 3.0),
+    ("entropy_upper", re.compile(r"[0-9A-Z]+"), 20, 3.4),
+    ("entropy_alnum", re.compile(r"[0-9A-Za-z]+"), 20, 3.6),
+    ("entropy_base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 20, 3.7),
+)
+#: Candidates that match one of these in full are not reported by entropy.
+ALLOW = (
+    r"[A-Za-z]+",  # words and identifiers: no digit
+    r"[0-9]+",  # numbers
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
+    r"[A-Za-z0-9]*(?:EXAMPLE|example|Example)[A-Za-z0-9]*",  # keys of documentation
+    r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*",  # paths and joined words without digits
+    r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/][0-9]{1,4}",  # numbered names
+    r"(.)\1*",  # rules made of one character
+    r"0123456789abcdef.*|abcdefghijklmnopqrstuvwxyz.*|ABCDEFGHIJKLMNOPQRSTUVWXYZ.*",  # alphabets
+)
+KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
+SPANS = "array<struct<kind:string,start:long,end:long,bits:double>>"
+
+
+def windows(text: str, width: int, bits: float) -> Iterator[tuple[int, int, float]]:
+    """Joined spans (start, end, highest entropy) of the windows of ``width`` characters that hold ``bits`` or more."""
+    gain = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    counts: dict[str, int] = {}
+    total = 0.0  # sum of c * log2(c) over the window's characters
+    begin = end = -1
+    best = 0.0
+    for i, ch in enumerate(text):
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += gain[c + 1] - gain[c]
+        if i >= width:
+            out = text[i - width]
+            c = counts[out]
+            counts[out] = c - 1
+            total += gain[c - 1] - gain[c]
+        if i >= width - 1 and (now := math.log2(width) - total / width) >= bits - 1e-9:
+            if begin >= 0 and i - width + 1 <= end:
+                end, best = i + 1, max(best, now)
+            else:
+                if begin >= 0:
+                    yield begin, end, best
+                begin, end, best = i - width + 1, i + 1, now
+    if begin >= 0:
+        yield begin, end, best
+
+
+def find(text: str, allow: re.Pattern) -> list[dict]:
+    """All spans of a text, by start, then kind in the order of KINDS; code points, end exclusive."""
+    out = [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    out += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
+    for m in CANDIDATE.finditer(text):
+        run = m[0]
+        if allow.fullmatch(run):
+            continue
+        kind, _, width, bits = next(c for c in CLASSES if c[1].fullmatch(run))
+        out += [(kind, m.start() + a, m.start() + b, h) for a, b, h in windows(run, width, bits)]
+    out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return [dict(zip(("kind", "start", "end", "bits"), s)) for s in out]
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """doc_id and spans (SPANS) of every row; null and empty texts have no spans.
+
+    Row by row and without a shuffle: repeated rows give repeated results, other
+    columns are not read, memory is one batch of texts.  ``bits`` is null for the
+    fixed patterns.
+    """
+    known = "|".join(f"(?:{a})" if "\\1" not in a else a for a in allow if "\\1" not in a)
+    back = [a for a in allow if "\\1" in a]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = re.compile("|".join([known, *back]) or r"(?!)")
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
+        for batch in stream:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                spans = [find(t.as_py() or "", allowed) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
+def digest(spans: DataFrame) -> DataFrame:
+    """The counts and digests of ``scan``: base spans by kind, their hash, and all spans as text."""
+    def joined(c):
+        return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def of(k):
+        return F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
+
+    base = F.filter("spans", lambda s: s.kind.isin(*KINDS[:3]))
+    return spans.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
