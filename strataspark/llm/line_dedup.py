@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .settle import settle
 
 COUNTERS = 1 << 20
 BITMAP_WORDS = 1 << 16
@@ -32,7 +33,7 @@ LAST = 2**63 - 1
 def _lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """p (position: document id, line number), th (hash of the whole text), line; eligible lines only."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split(F.lower("t"), "\n")).alias("ln", "line"))
+    own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode_outer(F.split(F.lower("t"), "\n")).alias("ln", "line"))
     return own.where(F.col("line").rlike(f"^{WS[:-1]}*(?:[^ \\t\\x0B\\f\\r]+{WS}){{{min_words - 1}}}[^ \\t\\x0B\\f\\r]")) if min_words > 1 else own.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
 
 
@@ -47,7 +48,7 @@ def _words(c: str) -> Column:
 def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
     """A scalar: the array of ``size`` values of (i, v), 0 where there is none."""
     full = spark.range(size).join(counted, F.col("id") == F.col("i"), "left").select("id", F.coalesce("v", F.lit(0)).cast(kind).alias("v"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("a")).scalar()
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("a")).scalar()
 
 
 def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> bytes:
@@ -59,7 +60,7 @@ def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> bytes:
     counted = scratch.save(docs.select(word).select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("i")).groupBy("i").agg(F.count("*").alias("v")))
     level = F.least(F.floor(F.log2(F.coalesce("v", F.lit(0)) + 1) * 4), F.lit(127))
     full = docs.sparkSession.range(COUNTERS).join(counted, F.col("id") == F.col("i"), "left").select("id", F.lpad(F.hex(level), 2, "0").alias("x"))
-    made = full.agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s.x), "")).alias("b")).first()[0]
+    made = full.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s.x), "")).alias("b")).first()[0]
     scratch.drop(counted)
     return bytes(made)
 
@@ -71,14 +72,14 @@ def prefixes(lines: DataFrame, rarity: bytes, threshold: int) -> DataFrame:
     """
     t = lines.select("k1", F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))).alias("h"))
     level = lambda x: F.ascii(F.substring(F.lit(rarity), F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
-    rare = t.select("k1", F.array_sort(F.transform("h", lambda x: F.shiftleft(level(x).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))).alias("o"))
+    rare = t.select("k1", F.sort_array(F.transform("h", lambda x: F.shiftleft(level(x).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))).alias("o"))
     return rare.select("k1", F.size("o").alias("n"), F.expr(f"slice(o, 1, size(o) + 1 - int(ceil({threshold} * size(o) / 100D - 1e-9)))").alias("pre"))
 
 
 def candidates(pre: DataFrame, threshold: int) -> DataFrame:
     """Pairs a, b of line hashes that share a prefix word and pass the length and positional filters."""
     t = threshold
-    rows = pre.select("k1", "n", F.posexplode("pre").alias("i", "w"))
+    rows = pre.select("k1", "n", F.posexplode_outer("pre").alias("i", "w")).where("w is not null")
     index = rows.where(f"i < n + 1 - int(ceil({2 * t} * n / {100 + t}D - 1e-9))").select("w", F.col("k1").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
     probe = rows.select("w", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     length = (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= t * F.col("nb")) & F.when(F.col("na") == F.col("nb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
@@ -133,7 +134,7 @@ def deduplicate(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5,
     gone = scratch.save(gone)
     key = docs.withColumns({"_ld_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_ld_th": F.xxhash64(text_col)})
     out = key.join(gone, ["_ld_id", "_ld_th"], "left")
-    out = out.withColumn("_ld_lines", F.when(F.col("_ld_gone").isNotNull(), F.split(text_col, "\n")))
+    out = settle(out, _ld_lines=F.when(F.col("_ld_gone").isNotNull(), F.split(text_col, "\n")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_ld_lines) - 1), _ld_gone), i -> get(_ld_lines, i)), '\n')")
     out = out.withColumn("_ld_text", F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(kept))
     cols = [F.col("_ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]

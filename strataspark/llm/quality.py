@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .settle import settle
 
 #: What separates words, and the characters counted as symbols.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,22 +37,17 @@ def with_metrics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     a = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    a = a.select("_row", "_t", _split_words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("_l"))
-    # _w is used three times in the lambda, so it is computed once, before it
-    b = a.select(
-        "_row", "_t", F.size("_w").cast("long").alias("n_words"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("CASE WHEN size(_w) >= 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE array() END").alias("_h"),
+    a = settle(a, _w=_split_words(F.col("_t")), _l=F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    a = settle(a, _h=F.expr("CASE WHEN size(_w) >= 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE array() END"))
+    a = a.select(
+        "_row", "_h", F.size("_w").cast("long").alias("n_words"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"), (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     # only texts that repeat a window pay for finding where
-    b = b.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN array_sort(transform(_h, (x, i) -> named_struct('h', x, 'i', i))) END"))
+    a = settle(a, _s=F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (x, i) -> named_struct('h', x, 'i', i))) ELSE array() END"))
     at = "transform(filter(transform(_s, (x, k) -> named_struct('i', x.i, 'd', coalesce(get(_s, k - 1).h = x.h, false) OR coalesce(get(_s, k + 1).h = x.h, false))), x -> x.d), x -> x.i)"
-    c = b.withColumn("_at", F.expr(at))
-    c = c.select(
-        "_row", "n_words", F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"), (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"), "n_dup_lines",
-        F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
-    # size of null is -1 or null, by configuration
-    c = c.withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0).cast("long")))
+    inside = F.array_distinct(F.flatten(F.transform(F.expr(at), lambda i: F.array(i, i + 1, i + 2))))
+    c = settle(a.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "_s"), n_repeat_words=F.size(inside).cast("long")).drop("_s")
     return c.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
