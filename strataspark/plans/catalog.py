@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import bindings
+from .oracle import ORACLE
+
+QUERIES: dict = {name: getattr(bindings, name) for name in ORACLE}
