@@ -58,9 +58,11 @@ def kind_of(mention: Column) -> Column:
 
 def canonical(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
+    # a North American number is one entity with and without its country code
+    national = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
     return (
         F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(mention, TITLE, ""))).otherwise(digits)
+        .when(kind.startswith("name"), F.lower(F.regexp_replace(mention, TITLE, ""))).otherwise(national)
     )
 
 
@@ -132,7 +134,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 def shown(kind: Column, mention: Column, canon: Column) -> Column:
     """A canonical surrogate in the format of a mention."""
-    # the mention's digits are replaced in order, its separators stay
+    # the mention's digits are replaced in order, its separators and country code stay
+    longer = (kind == "phone") & (F.length(F.regexp_replace(mention, "[^0-9]", "")) == F.length(canon) + 1)
+    canon = F.when(longer, F.concat(F.lit("1"), canon)).otherwise(canon)
     chars = F.filter(F.split(mention, ""), lambda c: c != "")
     def count(c, i):
         return F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9A-Z]", ""))
