@@ -11,7 +11,9 @@
     compared in blocks of bounded size, only across components.  A pair inside one
     component needs no link of its own, so no group is expanded into all pairs.
 4.  The odd sketch rejects a pair whose estimate is more than SIGMAS deviations
-    below the threshold.  All others are confirmed on the full shingle sets.
+    below the threshold.  A second parity bitmap, of the whole set, then bounds the
+    difference from below (no more bits differ than members do), without loss.  All
+    that remain are confirmed on the full shingle sets.
 5.  Components are found by large-star and small-star steps on the links.
 
 The bands are chosen so that a pair exactly at the threshold shares none with a
@@ -37,8 +39,8 @@ ROWS = 5
 SIGMAS = 6.0
 SKETCH_BITS = 1024
 BLOCK = 256
-PIVOT_ROUNDS = 3
-SKETCHES = "doc_id long, node binary, n_shingles long, bands array<long>, odd binary"
+PIVOT_ROUNDS = 2
+SKETCHES = "doc_id long, node binary, n_shingles long, bands array<long>, odd binary, parity binary"
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -86,6 +88,32 @@ def _odd(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def _parity(members: np.ndarray) -> bytes:
+    """Parity bitmap of a set, of a power of two of bits, two to four for each member or so."""
+    size = 1 << max(9, math.ceil(math.log2(3 * len(members))))
+    return np.packbits((np.bincount((members & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) folded to a smaller width; parity bits fold by XOR.
+
+    A bit's place is the low bits of a hash, so halves, quarters and so on line up.
+    """
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, width), axis=1)
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the members in which two sets differ."""
+    a, b = np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None]
+    w = min(a.shape[1], b.shape[1])
+    return int(np.bitwise_count(_folded(a, w) ^ _folded(b, w)).sum())
+
+
+def _most_differing(n, need: int):
+    """The members in which sets of together n members may differ and still be similar enough."""
+    return (100 - need) * n // (100 + need)
+
+
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     n, k = sig.shape
     acc = np.broadcast_to(np.arange(k // rows, dtype=U), (n, k // rows)).copy()
@@ -121,8 +149,8 @@ def sketches(docs: DataFrame, *, words_per: int, threshold: float, id_col: str =
                 cut = pa.array((at * bands).astype(np.int32))
                 values = pa.array(band.ravel() if full else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(_digest(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(cut, values), pa.array([odd[i].tobytes() if len(s) else None for i, s in zip(at, sets)], pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "bands", "odd"],
+                    [batch.column(0).slice(a, b - a), pa.array(_digest(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(cut, values), pa.array([odd[i].tobytes() if len(s) else None for i, s in zip(at, sets)], pa.binary()), pa.array([_parity(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["doc_id", "node", "n_shingles", "bands", "odd", "parity"],
                 )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SKETCHES)
@@ -200,7 +228,7 @@ def classes(docs: DataFrame, *, words_per: int = 5, threshold: float = 0.8, id_c
     scratch = Scratch(spark, "near_dup")
     k = bands_for(threshold) * ROWS
     s = scratch.save(sketches(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
-    nodes = scratch.save(s.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
+    nodes = scratch.save(s.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd"), F.min("parity").alias("parity")))
 
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     crowded = exploded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
@@ -253,17 +281,20 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, threshold: float, k: int) -> D
     floor, need = _floor(threshold, k), round(threshold * 100)
 
     @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+    def near(x: pd.Series, y: pd.Series, p: pd.Series, q: pd.Series, n: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
         a = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
         b = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        return pd.Series(similarity(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), k) >= floor)
+        ok = similarity(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), k) >= floor
+        for i in np.flatnonzero(ok):
+            ok[i] = differing(p.iat[i], q.iat[i]) <= _most_differing(int(n.iat[i]), need)
+        return pd.Series(ok)
 
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("y"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("x"), F.col("parity").alias("p"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("y"), F.col("parity").alias("q"))
     sized = pairs.join(left, "a").join(right, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(need) * F.greatest("na", "nb"))
-    return sized.where(near("x", "y")).select("a", "b")
+    return sized.where(near("x", "y", "p", "q", F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _blocks(at: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -275,9 +306,9 @@ def _blocks(at: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFr
     """
     floor, need = _floor(threshold, k), round(threshold * 100)
     n = F.ceil(F.col("size") / BLOCK)
-    own = at.join(nodes.select("node", "n", "odd"), "node").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("node", "band"), n))
+    own = at.join(nodes.select("node", "n", "odd", "parity"), "node").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("node", "band"), n))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "odd")
+    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "odd", "parity")
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
@@ -286,18 +317,31 @@ def _blocks(at: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFr
         out = []
         if len(x) and len(y):
             b = np.frombuffer(b"".join(y["odd"]), np.uint64).reshape(len(y), -1)
-            yn, yc, yk = y["n"].to_numpy(), y["comp"].to_numpy(), y["node"].to_numpy()
+            yn, yk = y["n"].to_numpy(), y["node"].to_numpy()
+            kinds, codes = {}, lambda s: np.fromiter((kinds.setdefault(c, len(kinds)) for c in s), np.int64, len(s))
+            xc, yc = codes(x["comp"]), codes(y["comp"])
+            width = np.fromiter(map(len, y["parity"]), np.int64, len(y))
+            place = np.zeros(len(y), np.int64)
+            stacks = {}
+            for w in np.unique(width):
+                own = np.flatnonzero(width == w)
+                place[own] = np.arange(len(own))
+                stacks[w] = np.frombuffer(b"".join(y["parity"].iloc[own]), np.uint8).reshape(len(own), w)
             for r in range(len(x)):
-                p, pn = x["node"].iat[r], x["n"].iat[r]
-                ok = 100 * np.minimum(yn, pn) >= need * np.maximum(yn, pn)
-                ok &= np.fromiter((c != x["comp"].iat[r] for c in yc), bool, len(yc))
+                pn = x["n"].iat[r]
+                ok = (100 * np.minimum(yn, pn) >= need * np.maximum(yn, pn)) & (yc != xc[r])
                 if i == j:
                     ok[: r + 1] = False
                 ok = np.flatnonzero(ok)
                 if len(ok):
                     a = np.frombuffer(x["odd"].iat[r], np.uint64)
-                    est = similarity(np.bitwise_count(b[ok] ^ a).sum(axis=1, dtype=np.int64), k)
-                    out += [(min(p, yk[q]), max(p, yk[q])) for q in ok[est >= floor]]
+                    ok = ok[similarity(np.bitwise_count(b[ok] ^ a).sum(axis=1, dtype=np.int64), k) >= floor]
+                p, bits = x["node"].iat[r], np.frombuffer(x["parity"].iat[r], np.uint8)[None]
+                for w in np.unique(width[ok]):
+                    q = ok[width[ok] == w]
+                    v = min(w, bits.shape[1])
+                    apart = np.bitwise_count(_folded(stacks[w][place[q]], v) ^ _folded(bits, v)).sum(axis=1, dtype=np.int64)
+                    out += [(min(p, yk[z]), max(p, yk[z])) for z in q[apart <= _most_differing(pn + yn[q], need)]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return dealt.groupBy("band", "i", "j").applyInPandas(group, "a binary, b binary").distinct()
