@@ -9,10 +9,12 @@ words are too short to be told apart and stay.
 2.  Words are ordered by rarity: by their count over all documents, kept in a
     table of COUNTERS counters that words share by hash (a total order is all that
     the filters need; sharing only makes it a little coarser), then by hash.
-3.  Of each line only a prefix of its rarest words is written out, the shorter
-    index prefix and the longer probe prefix, and joined on the word.  The length
-    filter and the positional filter are part of the join's condition.
-4.  Candidates are verified on their whole word sets, read anew from the lines.
+3.  Of each line only a prefix of its rarest words is written out, once, and
+    joined with itself on the word.  The length filter, the positional filter
+    (which also cuts the shorter index prefix) and a bound on the difference from
+    64-bit word signatures are part of the join's condition; none loses a match.
+4.  Candidates are verified on their whole word sets (64-bit hashes of the
+    words), read anew from the lines.
     A bitmap of constant size keeps lines that are no candidates out of that join.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .settle import settle
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 17
 BITMAP_WORDS = 1 << 16
 WS = "[ \\t\\x0B\\f\\r]+"
 LAST = 2**63 - 1
@@ -42,7 +44,16 @@ def _keys() -> list[Column]:
 
 
 def _words(c: str) -> Column:
-    return F.filter(F.split(c, WS), lambda w: w != "")
+    """Words of a line; plain spaces first, as splitting at one character needs no pattern."""
+    plain = F.col(c)
+    for x in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(x), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _word_set(c: str) -> Column:
+    """The set of a line's words, each as its 64-bit hash."""
+    return F.array_distinct(F.transform(_words(c), lambda w: F.xxhash64(w)))
 
 
 def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
@@ -51,40 +62,59 @@ def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("a")).scalar()
 
 
-def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> bytes:
-    """A byte for each counter, 0 to 127: a logarithm of the count of its words over all documents.
+def _in_bitmap(keys: DataFrame, key: str, scratch: Scratch) -> Column:
+    """A test that holds for all values of ``keys``, and for few others: a bitmap of constant size, as a scalar."""
+    place, bit = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(key), F.lit(64)).cast("int"))
+    bits = scratch.save(keys.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("v")))
+    return F.get(_dense(keys.sparkSession, bits, BITMAP_WORDS, "long"), place.cast("int")).bitwiseAND(bit) != 0
+
 
-    The one value that comes to the driver is COUNTERS bytes, whatever the corpus.
+def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> str:
+    """The COUNTERS levels, joined by commas: a logarithm, 0 to 127, of the count of a counter's words over all documents.
+
+    The one value that comes to the driver has a constant size, whatever the corpus.
     """
-    word = F.explode(F.split(F.lower(F.col(text_col)), "[ \\t\\n\\x0B\\f\\r]+")).alias("w")
+    plain = F.lower(F.col(text_col))
+    for x in "\n\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(x), F.lit(" "))
+    word = F.explode_outer(F.split(plain, " ")).alias("w")
     counted = scratch.save(docs.select(word).select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("i")).groupBy("i").agg(F.count("*").alias("v")))
     level = F.least(F.floor(F.log2(F.coalesce("v", F.lit(0)) + 1) * 4), F.lit(127))
-    full = docs.sparkSession.range(COUNTERS).join(counted, F.col("id") == F.col("i"), "left").select("id", F.lpad(F.hex(level), 2, "0").alias("x"))
-    made = full.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s.x), "")).alias("b")).first()[0]
+    full = docs.sparkSession.range(COUNTERS).join(counted, F.col("id") == F.col("i"), "left").select("id", level.cast("string").alias("x"))
+    made = full.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s.x), ",").alias("b")).first()[0]
     scratch.drop(counted)
-    return bytes(made)
+    return made
 
 
-def prefixes(lines: DataFrame, rarity: bytes, threshold: int) -> DataFrame:
-    """k1, n (words of the set) and ``pre``: the line's rarest words as (word, place), as many as a probe needs.
+def prefixes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
+    """w, k1, bits, place: a row for each word of each line's probe prefix, its rarest words.
 
-    A word is a number: the rarity class of its counter above 48 bits of its hash.
+    A word is a number: the rarity class of its counter above 48 bits of its
+    hash.  ``bits`` has a bit set for each word of the line; ``place`` holds the
+    number of words of the line, and below it the word's position.
     """
-    t = lines.select("k1", F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))).alias("h"))
-    level = lambda x: F.ascii(F.substring(F.lit(rarity), F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
-    rare = t.select("k1", F.sort_array(F.transform("h", lambda x: F.shiftleft(level(x).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16)))).alias("o"))
-    return rare.select("k1", F.size("o").alias("n"), F.expr(f"slice(o, 1, size(o) + 1 - int(ceil({threshold} * size(o) / 100D - 1e-9)))").alias("pre"))
-
-
-def candidates(pre: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of line hashes that share a prefix word and pass the length and positional filters."""
+    levels = F.split(F.lit(rarity), ",").cast("array<tinyint>")
+    t = settle(lines.select("k1", "line"), h=_word_set("line")).select("k1", "h")
+    pack = lambda x: F.shiftleft(F.get(levels, F.pmod(x, F.lit(COUNTERS)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16))
+    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+    t = settle(t, o=F.sort_array(F.transform("h", pack)), bits=bits).select("k1", "bits", "o")
+    keep = F.expr(f"slice(o, 1, size(o) + 1 - int(ceil({threshold} * size(o) / 100D - 1e-9)))")
+    rows = t.select("k1", "bits", F.size("o").alias("n"), F.posexplode_outer(keep).alias("i", "w")).where("w is not null")
+    return rows.select("w", "k1", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
+
+
+def candidates(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs a, b of line hashes that share a prefix word and pass all filters; both sides read one exchange."""
     t = threshold
-    rows = pre.select("k1", "n", F.posexplode_outer("pre").alias("i", "w")).where("w is not null")
-    index = rows.where(f"i < n + 1 - int(ceil({2 * t} * n / {100 + t}D - 1e-9))").select("w", F.col("k1").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    probe = rows.select("w", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    length = (F.col("na") <= F.col("nb")) & (100 * F.col("na") >= t * F.col("nb")) & F.when(F.col("na") == F.col("nb"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    place = (100 + t) * (1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)) >= t * (F.col("na") + F.col("nb"))
-    return index.join(probe, "w").where(length & place).select("a", "b").distinct()
+    x = rows.select("w", F.col("k1").alias("a"), F.col("bits").alias("ba"), F.col("place").alias("pa"))
+    y = rows.select("w", F.col("k1").alias("b"), F.col("bits").alias("bb"), F.col("place").alias("pb"))
+    na, nb = F.shiftright("pa", 32), F.shiftright("pb", 32)
+    ia, ib = F.col("pa").bitwiseAND(F.lit(2**32 - 1)), F.col("pb").bitwiseAND(F.lit(2**32 - 1))
+    length = (na <= nb) & (100 * na >= t * nb) & ((F.col("a") < F.col("b")) | ((na < nb) & (F.col("a") != F.col("b"))))
+    position = ((100 + t) * (na - ia) >= t * (na + nb)) & ((100 + t) * (nb - ib) >= t * (na + nb))
+    # every bit that differs is a word that differs
+    differ = (100 + t) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - t) * (na + nb)
+    return x.join(y, "w").where(length & position & differ).select("a", "b").distinct()
 
 
 def first_positions(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -103,10 +133,8 @@ def first_positions(docs: DataFrame, *, threshold: float = 0.8, min_words: int =
     pairs = scratch.save(candidates(prefixes(once, rarity, t), t))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    bits = ends.groupBy(F.pmod(F.shiftright("k1", 6), F.lit(BITMAP_WORDS)).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(k1 & 63))")).alias("v"))
-    bitmap = _dense(spark, scratch.save(bits), BITMAP_WORDS, "long")
-    maybe = lines.select("line", *_keys()).where(F.get(bitmap, F.pmod(F.shiftright("k1", 6), F.lit(BITMAP_WORDS)).cast("int")).bitwiseAND(F.expr("shiftleft(1L, int(k1 & 63))")) != 0)
-    sets = scratch.save(maybe.dropDuplicates(["k1", "k2"]).join(ends, "k1", "left_semi").select("k1", "k2", F.array_distinct(_words("line")).alias("s")))
+    maybe = lines.select("line", *_keys()).where(_in_bitmap(ends, "k1", scratch))
+    sets = scratch.save(maybe.dropDuplicates(["k1", "k2"]).join(ends, "k1", "left_semi").select("k1", "k2", _word_set("line").alias("s")))
     left = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("s").alias("x"))
     right = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -133,10 +161,15 @@ def deduplicate(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5,
     gone = gone.groupBy(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th")).agg(F.sort_array(F.collect_set("ln")).alias("_ld_gone"))
     gone = scratch.save(gone)
     key = docs.withColumns({"_ld_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_ld_th": F.xxhash64(text_col)})
-    out = key.join(gone, ["_ld_id", "_ld_th"], "left")
-    out = settle(out, _ld_lines=F.when(F.col("_ld_gone").isNotNull(), F.split(text_col, "\n")))
+    # texts that lose no line stay where they are; only the others meet their line numbers in a shuffle
+    hit = F.coalesce(_in_bitmap(gone.select("_ld_th"), "_ld_th", scratch), F.lit(False))
+    marked = key.withColumn("_ld_hit", hit)
+    changed = marked.where("_ld_hit").join(gone, ["_ld_id", "_ld_th"], "left")
+    same = marked.where("not _ld_hit").withColumn("_ld_gone", F.lit(None).cast("array<int>"))
+    changed = settle(changed, _ld_lines=F.when(F.col("_ld_gone").isNotNull(), F.split(text_col, "\n")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_ld_lines) - 1), _ld_gone), i -> get(_ld_lines, i)), '\n')")
-    out = out.withColumn("_ld_text", F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(kept))
+    changed = changed.withColumn("_ld_text", F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(kept))
+    out = changed.drop("_ld_lines").unionByName(same.withColumn("_ld_text", F.col(text_col)))
     cols = [F.col("_ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         n = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
