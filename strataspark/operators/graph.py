@@ -133,14 +133,15 @@ def tree_depth(parents: DataFrame, *, node: str = "node", parent: str = "parent"
     """node, depth: 0 for roots, 1 where the parent is not in the table, else one more than the parent's.
 
     By pointer doubling: a round doubles the distance seen, so a tree of depth d
-    takes about log2(d) joins.  Nodes on a cycle have depth 0.
+    takes about log2(d) joins.  Nodes on a cycle, or below one, have depth 0.
     """
     base = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
     known = base.select(F.col("node").alias("p")).withColumn("_known", F.lit(True))
     now = base.join(known, base.parent == F.col("p"), "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     now = cut(now)
-    rounds = 0
-    while now.where("up is not null").limit(1).count() and rounds < 63:
+    # no path is longer than there are nodes; what then still has a way up is on a cycle, or leads to one
+    rounds, most = 0, now.count().bit_length() + 1
+    while now.where("up is not null").limit(1).count() and rounds < most:
         far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
         now = cut(now.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
         rounds += 1
