@@ -90,13 +90,13 @@ def prefixes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
     """w, k1, bits, place: a row for each word of each line's probe prefix, its rarest words.
 
     A word is a number: the rarity class of its counter above 48 bits of its
-    hash.  ``bits`` has a bit set for each word of the line; ``place`` holds the
+    hash.  ``bits`` has the parity of the words that fall on each bit; ``place`` holds the
     number of words of the line, and below it the word's position.
     """
     levels = F.split(F.lit(rarity), ",").cast("array<tinyint>")
     t = settle(lines.select("k1", "line"), h=_word_set("line")).select("k1", "h")
     pack = lambda x: F.shiftleft(F.get(levels, F.pmod(x, F.lit(COUNTERS)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
     t = settle(t, o=F.sort_array(F.transform("h", pack)), bits=bits).select("k1", "bits", "o")
     keep = F.expr(f"slice(o, 1, size(o) + 1 - int(ceil({threshold} * size(o) / 100D - 1e-9)))")
     rows = t.select("k1", "bits", F.size("o").alias("n"), F.posexplode_outer(keep).alias("i", "w")).where("w is not null")
