@@ -28,9 +28,9 @@ def without_files(files: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def decode_text(raw: Column) -> Column:
-    """UTF-8 where the bytes are valid, else Windows-1252."""
+    """UTF-8 where the bytes are valid, else ISO-8859-1."""
     utf8 = F.try_validate_utf8(raw.cast("string"))
-    return F.coalesce(utf8, F.decode(raw, "windows-1252"))
+    return F.coalesce(utf8, F.decode(raw, "iso-8859-1"))
 
 
 def with_full_tags(text: Column) -> Column:
