@@ -142,3 +142,25 @@ def test_project_from_source(spark, recs):
     one = " ".join(f"$v{i} = {i};" for i in range(60))
     df = spark.createDataFrame([(1, one, 9), (2, one, 9)], "doc_id long, text string, loc long")
     assert duplication.project_rate(duplication.duplication(text.tokens(df), key="doc_id")).first().duplication_rate == 100.0
+
+
+def test_analysis_of_a_tree(spark, tmp_path):
+    from strataspark.plans.project import analyse, framework_thresholds
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "src" / "A.php").write_text(CODE)
+    (tmp_path / "src" / "B.php").write_text("<?php\nnamespace App\\Model;\nclass User { public function pair() { return new Order(); } }\nclass Order { public function owner() { return new User(); } }\n")
+    (tmp_path / "src" / "Bad.php").write_text("<?php class {")
+    (tmp_path / "tests" / "UserTest.php").write_text("<?php\nnamespace App\\Model\\Tests;\n/** @covers \\App\\Model\\User */\nclass UserTest {}\n")
+    log = spark.createDataFrame([(str(tmp_path / "src" / "B.php"), f"c{i}", "ann", "2023-12-01 00:00:00") for i in range(3)], "path string, commit string, author string, t string").withColumn("ts", F.to_timestamp("t"))
+    a = analyse(spark, str(tmp_path), log=log)
+    c = {r.name: r for r in a.class_list(limit=20).collect()}
+    assert c["App\\Model\\User"].cycle_length == 2 and c["App\\Model\\User"].has_test and c["App\\Model\\User"].churn == 3 and not c["App\\Model\\Order"].has_test
+    assert c["App\\Service\\Runner"].dead == 1 and c["App\\Service\\Runner"].dit == 1 and set(c) == {"App\\Model\\User", "App\\Model\\Order", "App\\Service\\Runner", "App\\Service\\Marker", "App\\Service\\Suit"}
+    p = a.health_score().first()
+    assert p.files == 3 and p.file_errors == 1 and p.cycles == 1 and 0 < p.health_score < 100 and p.test_files == 1
+    found = {(r.entity, r.rule) for r in a.problem_list(limit=200).collect()}
+    assert ("App\\Model\\User", "dependency_cycle") in found and ("App\\Service\\Runner", "dead_code") in found
+    assert a.refactoring_priorities().count() >= 2 and a.impact(target="App\\Model\\User", depth=1).first().node == "App\\Model\\Order::owner"
+    assert framework_thresholds('{"require": {"laravel/framework": "1"}}').god_uses == 25
