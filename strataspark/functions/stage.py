@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
             where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once even if a lambda refers to them.
+
+    An array that a merged projection puts inside a lambda is computed for every
+    element; nothing is merged across a generator.
+    """
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_once.{n}").alias(n) for n in columns])

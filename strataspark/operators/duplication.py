@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stage import once
+
 
 def duplication(docs: DataFrame, *, key: str, tokens: str = "tokens", loc: str = "loc", window: int = 50) -> DataFrame:
     """key, duplicated_lines, duplication_rate: window starts also found in another text, at most the text's lines.
 
-    Windows are hashed in the row; only 16-byte hashes with their text and
-    number are shuffled, combined per text before.  A repeat inside one text counts
+    Windows are hashed in the row, from the tokens' hashes; only 16 bytes each with
+    their text and number are shuffled, combined per text before.  A repeat inside one text counts
     only if another text has it too.  Texts of fewer tokens than a window have none.
     """
-    n = F.size(tokens)
-    # the tokens are the lambda's argument through slice, on a column that is passed through unchanged
-    starts = F.when(n >= window, F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(tokens, i, window), "|")))).otherwise(F.array().cast("array<string>"))
-    each = docs.select(F.col(key), F.explode(starts).alias("h")).groupBy(key, F.unhex("h").alias("h")).agg(F.count("*").alias("k"))
-    shared = each.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
-    hits = each.join(shared, "h", "left_semi").groupBy(key).agg(F.sum("k").alias("starts"))
+    hashed = once(docs.select(key, tokens), _h=F.transform(tokens, lambda t: F.xxhash64(t))).select(key, "_h")
+    # two hashes of each window, together 128 bits
+    at = F.when(F.size("_h") >= window, F.sequence(F.lit(1), F.size("_h") - window + 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("_h", i, window)).alias("a"), F.xxhash64(F.lit(1), F.slice("_h", i, window)).alias("b")))
+    each = hashed.select(key, F.explode_outer(starts).alias("h")).where("h is not null").groupBy(key, F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count("*").alias("k"))
+    shared = each.groupBy("a", "b").agg(F.count("*").alias("texts")).where("texts > 1").select("a", "b")
+    hits = each.join(shared, ["a", "b"], "left_semi").groupBy(key).agg(F.sum("k").alias("starts"))
     out = docs.select(key, loc).join(hits, key, "left")
     lines = F.least(F.coalesce("starts", F.lit(0)), F.col(loc)).cast("long")
     return out.withColumn("duplicated_lines", lines).withColumn("duplication_rate", F.when(F.col(loc) > 0, F.round(F.col("duplicated_lines") * 100 / F.col(loc), 2)).otherwise(0.0)).drop("starts")
