@@ -28,6 +28,8 @@ from .settle import settle
 
 COUNTERS = 1 << 17
 BITMAP_WORDS = 1 << 16
+#: Words of 64 parity bits in a line's longer signature.
+SIGNATURE = 6
 WS = "[ \\t\\x0B\\f\\r]+"
 LAST = 2**63 - 1
 
@@ -83,6 +85,7 @@ def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> str:
     full = docs.sparkSession.range(COUNTERS).join(counted, F.col("id") == F.col("i"), "left").select("id", level.cast("string").alias("x"))
     made = full.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s.x), ",").alias("b")).first()[0]
     scratch.drop(counted)
+    scratch.release()
     return made
 
 
@@ -117,6 +120,22 @@ def candidates(rows: DataFrame, threshold: int) -> DataFrame:
     return x.join(y, "w").where(length & position & differ).select("a", "b").distinct()
 
 
+def _parity(words: str, j: int) -> Column:
+    """64 parity bits of the words that fall to part j of SIGNATURE."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    own = F.filter(words, lambda x: F.pmod(F.shiftright(x, 6), F.lit(SIGNATURE)) == j)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
+def _signed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """a, a2, b, b2: the pairs that longer signatures leave over; no word set is shipped for the others."""
+    t = threshold
+    left = lines.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("n").alias("na"), *[F.col("sig")[j].alias(f"x{j}") for j in range(SIGNATURE)])
+    right = lines.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("n").alias("nb"), *[F.col("sig")[j].alias(f"y{j}") for j in range(SIGNATURE)])
+    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(SIGNATURE)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where((100 + t) * apart <= (100 - t) * (F.col("na") + F.col("nb"))).select("a", "a2", "b", "b2")
+
+
 def first_positions(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """k1, k2, cut of each class of equal lines that has a copy or an earlier match: lines after ``cut`` go."""
     spark = docs.sparkSession
@@ -131,18 +150,26 @@ def first_positions(docs: DataFrame, *, threshold: float = 0.8, min_words: int =
     hot = classes.where(F.col("copies") > F.lit(max(1, total // 1000))).select(F.col("k1").alias("hk"), F.col("p.id").alias("hid"), F.col("p.ln").alias("hln"))
     once = lines.select("id", "ln", "line", *_keys()).join(F.broadcast(hot), F.col("k1") == F.col("hk"), "left").where("hk is null or (id = hid and ln = hln)")
     pairs = scratch.save(candidates(prefixes(once, rarity, t), t))
+    scratch.release()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     maybe = lines.select("line", *_keys()).where(_in_bitmap(ends, "k1", scratch))
-    sets = scratch.save(maybe.dropDuplicates(["k1", "k2"]).join(ends, "k1", "left_semi").select("k1", "k2", _word_set("line").alias("s")))
+    sets = maybe.dropDuplicates(["k1", "k2"]).join(ends, "k1", "left_semi").select("k1", "k2", _word_set("line").alias("s"))
+    sets = scratch.save(settle(sets, sig=F.array(*[_parity("s", j) for j in range(SIGNATURE)])))
+    scratch.release()
+    near = scratch.save(_signed(pairs, sets.select("k1", "k2", F.size("s").alias("n"), "sig"), t))
+    scratch.release()
+    # only pairs that the signatures leave over meet their whole sets
     left = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("s").alias("x"))
     right = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(left, "a").join(right, "b").where((100 + t) * both >= t * (F.size("x") + F.size("y"))).select("a", "a2", "b", "b2")
+    links = near.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where((100 + t) * both >= t * (F.size("x") + F.size("y"))).select("a", "a2", "b", "b2")
     links = scratch.save(links)
+    scratch.drop(sets, pairs, near)
+    scratch.release()
     each = links.unionByName(links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
-    near = each.join(classes.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), "p"), ["b", "b2"]).groupBy(F.col("a").alias("k1"), F.col("a2").alias("k2")).agg(F.min("p").alias("q"))
-    out = classes.join(near, ["k1", "k2"], "left").where("copies > 1 or q < p")
+    first = each.join(classes.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), "p"), ["b", "b2"]).groupBy(F.col("a").alias("k1"), F.col("a2").alias("k2")).agg(F.min("p").alias("q"))
+    out = classes.join(first, ["k1", "k2"], "left").where("copies > 1 or q < p")
     return out.select("k1", "k2", F.least("p", F.coalesce("q", "p")).alias("cut"))
 
 
@@ -160,6 +187,7 @@ def deduplicate(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5,
     gone = _lines(docs, min_words, id_col, text_col).select("id", "th", "ln", *_keys()).join(cuts, ["k1", "k2"]).where(F.struct("id", "ln") > F.col("cut"))
     gone = gone.groupBy(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th")).agg(F.sort_array(F.collect_set("ln")).alias("_ld_gone"))
     gone = scratch.save(gone)
+    scratch.release()
     key = docs.withColumns({"_ld_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_ld_th": F.xxhash64(text_col)})
     # texts that lose no line stay where they are; only the others meet their line numbers in a shuffle
     hit = F.coalesce(_in_bitmap(gone.select("_ld_th"), "_ld_th", scratch), F.lit(False))

@@ -354,7 +354,9 @@ def deduplicate(docs: DataFrame, *, words_per: int = 5, threshold: float = 0.8,
     Of rows that repeat an id and its text one stays; rows of one id with
     different texts that are the smallest of their groups all stay.
     """
-    kept = Scratch(docs.sparkSession, "near_dup").save(classes(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
+    scratch = Scratch(docs.sparkSession, "near_dup")
+    kept = scratch.save(classes(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
+    scratch.release()  # before the texts are shuffled
     gone = kept.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     own = F.col(id_col).cast("long")
     out = docs.join(gone, own == F.col("__gone"), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,6 +40,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished writes.
+
+        It does so once their plans are garbage; without a collection on the
+        driver, which may not need one for a long time, they pile up on the
+        executors' disks.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of ``save`` that nothing lazy still reads."""
         jvm = self.spark._jvm
