@@ -2,8 +2,9 @@
 
 A line is the set of its lower-cased words.  Two lines match if 100 *
 intersection >= threshold * union.  A line goes if it matches a line at an
-earlier position (document id, line number); lines of fewer than ``min_words``
-words are too short to be told apart and stay.
+earlier position (document id, line number).  Lines of fewer than ``min_words``
+words stay; with 1, as the query and the pipeline have it, every line with a word
+takes part and only blank lines stay.
 
 1.  Equal lines form a class, known by a 128-bit hash, with its first position.
 2.  Words are ordered by rarity: by their count over all documents, kept in a

@@ -33,7 +33,7 @@ def op4_token_counts(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

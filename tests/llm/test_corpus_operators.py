@@ -266,6 +266,24 @@ def test_line_dedup(spark, docs, nothing):
     assert line_dedup.deduplicate(clashing(df)).columns == clashing(df).columns
 
 
+def test_short_lines_go_in_query_and_pipeline(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    short = ["All rights reserved.", "all  RIGHTS reserved.", "rights All reserved.", "Page", "Page one", "ka ka", "ka", "", " \t", "one two three four", "one two three four five", "one two three"]
+    rows = [(i, "\n".join([words(rng, 12), *rng.sample(short, 6), words(rng, rng.randint(1, 4))]), None, None, None) for i in range(40)]
+    rows += [(50, None, None, None, None), (51, "", None, None, None), (None, "Page\nnew line\nnew line", None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    want = lines_by_hand([(r[0], r[1]) for r in rows], least=1)
+    gone = {r[0]: sorted(want.get((2**63 - 1 if r[0] is None else r[0], r[1]), ())) for r in rows}
+    assert sum(map(len, gone.values())) > 150 and gone[None] == [0, 2]
+    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    left = {r.doc_id: r.text for r in pipeline.remove_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    for i, t, *_ in rows:
+        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        assert left[i] == kept and got[i].removed_lines == ",".join(map(str, gone[i])) and got[i].n_removed == len(gone[i])
+        assert got[i].text_sha256 == hashlib.sha256((kept or "").encode()).hexdigest()
+
+
 # ---- 6 -----------------------------------------------------------------------
 
 PII = [
