@@ -40,7 +40,7 @@ SIGMAS = 6.0
 SKETCH_BITS = 1024
 BLOCK = 256
 PIVOT_ROUNDS = 2
-SKETCHES = "doc_id long, node binary, n_shingles long, bands array<long>, odd binary, parity binary"
+SKETCHES = "doc_id long, node binary, n_shingles long, bands array<long>, odd binary, parity binary, th long"
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -133,7 +133,7 @@ def _floor(threshold: float, k: int) -> float:
 
 
 def sketches(docs: DataFrame, *, words_per: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SKETCHES for each row; null node, bands and sketch where there are no words."""
+    """SKETCHES for each row, th being the hash of its text; null node, bands and sketch where there are no words."""
     bands = bands_for(threshold)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +149,11 @@ def sketches(docs: DataFrame, *, words_per: int, threshold: float, id_col: str =
                 cut = pa.array((at * bands).astype(np.int32))
                 values = pa.array(band.ravel() if full else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(_digest(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(cut, values), pa.array([odd[i].tobytes() if len(s) else None for i, s in zip(at, sets)], pa.binary()), pa.array([_parity(s) if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "bands", "odd", "parity"],
+                    [batch.column(0).slice(a, b - a), pa.array(_digest(sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(cut, values), pa.array([odd[i].tobytes() if len(s) else None for i, s in zip(at, sets)], pa.binary()), pa.array([_parity(s) if len(s) else None for s in sets], pa.binary()), batch.column(2).slice(a, b - a)],
+                    names=["doc_id", "node", "n_shingles", "bands", "odd", "parity", "th"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SKETCHES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col).alias("th")).mapInArrow(run, SKETCHES)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words_per: int, text_col: str, id_col: str) -> DataFrame:
@@ -224,8 +224,12 @@ def classes(docs: DataFrame, *, words_per: int = 5, threshold: float = 0.8, id_c
     A null id is never the smallest: such a row is kept only if its class has no id.
     An empty table gives an empty result; other columns are not read.
     """
+    return _classes(docs, Scratch(docs.sparkSession, "near_dup"), words_per, threshold, id_col, text_col).drop("th")
+
+
+def _classes(docs: DataFrame, scratch: Scratch, words_per: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``classes`` with th, the hash of the row's text."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near_dup")
     k = bands_for(threshold) * ROWS
     s = scratch.save(sketches(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
     nodes = scratch.save(s.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd"), F.min("parity").alias("parity")))
@@ -272,8 +276,8 @@ def classes(docs: DataFrame, *, words_per: int = 5, threshold: float = 0.8, id_c
     owner = nodes.select("node", "doc", F.col("node").alias("comp")) if comp is None else nodes.select("node", "doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = owner.groupBy("comp").agg(F.min("doc").alias("component_id"))
     reach = owner.join(first, "comp").select("node", F.col("component_id"))
-    out = s.select("doc_id", "n_shingles", "node").join(reach, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = s.select("doc_id", "n_shingles", "node", "th").join(reach, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "th").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _sketched(pairs: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -352,14 +356,15 @@ def deduplicate(docs: DataFrame, *, words_per: int = 5, threshold: float = 0.8,
 
     Texts without words are linked with nothing and stay, as do rows of a null id.
     Of rows that repeat an id and its text one stays; rows of one id with
-    different texts that are the smallest of their groups all stay.
+    different texts that are the smallest of their groups all stay, and only
+    those that are not go.
     """
     scratch = Scratch(docs.sparkSession, "near_dup")
-    kept = scratch.save(classes(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
+    kept = scratch.save(_classes(docs, scratch, words_per, threshold, id_col, text_col))
     scratch.release()  # before the texts are shuffled
-    gone = kept.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = kept.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
     own = F.col(id_col).cast("long")
-    out = docs.join(gone, own == F.col("__gone"), "left_anti")
+    out = docs.join(gone, (own == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
     twice = kept.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("__twice"))
     if not twice.limit(1).count():
         return out

@@ -404,6 +404,14 @@ def test_near_duplicate_removal_keeps_one(spark, docs):
     assert out.columns == clashing(docs).columns
 
 
+def test_repeated_ids_lose_only_the_texts_that_go(spark):
+    rng = random.Random(21)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(5, a), (9, a + " more"), (5, b), (2, b + " more"), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, near_dup.deduplicate(df).collect())) == Counter([rows[0], *rows[3:]])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
