@@ -166,7 +166,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words_per: int, text_col: str
                 sets = _sets(h, bounds, words_per)
                 yield pa.RecordBatch.from_arrays([pa.array(_digest(sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").select("text")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # a null id is an id here: the hash of the text finds the rows of a node that has no other
+    texts = own.join(wanted.select("doc", "th").distinct(), F.col("id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("th")), "left_semi").select("text")
     members = texts.mapInArrow(run, "node binary, members binary")
     return members.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -232,7 +234,7 @@ def _classes(docs: DataFrame, scratch: Scratch, words_per: int, threshold: float
     spark = docs.sparkSession
     k = bands_for(threshold) * ROWS
     s = scratch.save(sketches(docs, words_per=words_per, threshold=threshold, id_col=id_col, text_col=text_col))
-    nodes = scratch.save(s.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd"), F.min("parity").alias("parity")))
+    nodes = scratch.save(s.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd"), F.min("parity").alias("parity")).select("node", F.col("first.doc_id").alias("doc"), F.col("first.th").alias("th"), "n", "bands", "odd", "parity"))
 
     exploded = nodes.select("node", F.explode("bands").alias("band"))
     crowded = exploded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
@@ -265,7 +267,7 @@ def _classes(docs: DataFrame, scratch: Scratch, words_per: int, threshold: float
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if members is not None:
             ends = ends.join(members, "node", "left_anti")
-        more = scratch.save(_full_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc"), words_per, text_col, id_col), "none")
+        more = scratch.save(_full_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc", "th"), words_per, text_col, id_col), "none")
         members = more if members is None else members.unionByName(more)
         found = scratch.save(_confirm(pairs, members, threshold))
         if not found.limit(1).count():

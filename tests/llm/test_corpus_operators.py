@@ -404,6 +404,19 @@ def test_near_duplicate_removal_keeps_one(spark, docs):
     assert out.columns == clashing(docs).columns
 
 
+def test_rows_without_id_are_linked_and_bridge(spark):
+    rng = random.Random(22)
+    w = words(rng, 60)
+    x = words(rng, 100).split()
+    y = x + words(rng, 10).split()
+    z = y + words(rng, 10).split()
+    rows = [(1, w), (None, w + " more"), (3, " ".join(x)), (None, " ".join(y)), (None, " ".join(y)), (4, " ".join(z)), (None, words(rng, 30)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.classes(df, words_per=3, threshold=0.85).collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == Counter(classes_by_hand(rows, 3, 85))
+    assert Counter(r.component_id for r in got) == {1: 2, 3: 4, None: 2}
+
+
 def test_repeated_ids_lose_only_the_texts_that_go(spark):
     rng = random.Random(21)
     a, b = words(rng, 60), words(rng, 60)
