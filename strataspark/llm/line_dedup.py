@@ -2,21 +2,26 @@
 
 A line is the set of its lower-cased words.  Two lines match if 100 *
 intersection >= threshold * union.  A line goes if it matches a line at an
-earlier position (document id, line number).  Lines of fewer than ``min_words``
-words stay; with 1, as the query and the pipeline have it, every line with a word
-takes part and only blank lines stay.
-
-1.  Equal lines form a class, known by a 128-bit hash, with its first position.
-2.  Words are ordered by rarity: by their count over all documents, kept in a
-    table of COUNTERS counters that words share by hash (a total order is all that
-    the filters need; sharing only makes it a little coarser), then by hash.
-3.  Of each line only a prefix of its rarest words is written out, once, and
-    joined with itself on the word.  The length filter, the positional filter
-    (which also cuts the shorter index prefix) and a bound on the difference from
-    64-bit word signatures are part of the join's condition; none loses a match.
-4.  Candidates are verified on their whole word sets (64-bit hashes of the
-    words), read anew from the lines.
-    A bitmap of constant size keeps lines that are no candidates out of that join.
+earlier position (document id, line number).  Every line with a word takes part;
+blank lines stay.
+
+1.  The text is split once.  Lines with equal word sets form a class, known by a
+    128-bit hash, with its first position; all its later copies go.  From here on
+    there is one row for each class.
+2.  Words are ordered by rarity: by their count over all lines, kept in a table of
+    COUNTERS counters that words share by hash (a total order is all that the
+    filters need; sharing only makes it a little coarser), then by hash.
+3.  Of each class only a prefix of its rarest words is written out, and a
+    left-semi join on the word keeps the rows for which an earlier class passes the
+    length filter, the positional filter and a bound on the difference from 64-bit
+    parity signatures; none loses a match.  The join stops at the first such class:
+    its rows are never more than its input's, whatever the size of a group.  What
+    is left goes through a second such join with longer signatures of long lines.
+4.  One earlier match decides a class, so the classes left over are first compared
+    with the earliest class of their words' lists, and then with a few others
+    (pivots: the first of each of some salts).  Classes that match one are done; the
+    few that stay open meet all members of their lists.
+5.  Every candidate is verified on the whole word sets (64-bit hashes of the words).
 """
 
 from __future__ import annotations
@@ -29,34 +34,34 @@ from .settle import settle
 
 COUNTERS = 1 << 17
 BITMAP_WORDS = 1 << 16
-#: Words of 64 parity bits in a line's longer signature.
-SIGNATURE = 6
-WS = "[ \\t\\x0B\\f\\r]+"
+#: Level of a counter that has seen one word, once.
+ONCE = 4
+#: Salts of each further round of pivots; one is made while open rows could meet more than OPEN times the rows of their lists.
+ROUNDS = (4, 8, 16, 32)
+OPEN = 16
+#: Words of 64 parity bits in the signature of a line of more than 64 words; a power of two.
+WIDE = 8
 LAST = 2**63 - 1
 
 
-def _lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """p (position: document id, line number), th (hash of the whole text), line; eligible lines only."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode_outer(F.split(F.lower("t"), "\n")).alias("ln", "line"))
-    return own.where(F.col("line").rlike(f"^{WS[:-1]}*(?:[^ \\t\\x0B\\f\\r]+{WS}){{{min_words - 1}}}[^ \\t\\x0B\\f\\r]")) if min_words > 1 else own.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
-
+def _bit(x) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2")]
 
-
-def _words(c: str) -> Column:
-    """Words of a line; plain spaces first, as splitting at one character needs no pattern."""
-    plain = F.col(c)
-    for x in "\t\x0b\x0c\r":
+def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (hash of the whole text), ln and s (sorted hashes of the line's distinct words; empty for a blank line), for each line."""
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    plain = F.lower("t")
+    for x in "\t\x0b\x0c\r":  # splitting at one plain character needs no pattern
         plain = F.replace(plain, F.lit(x), F.lit(" "))
-    return F.array_remove(F.split(plain, " "), "")
+    own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode_outer(F.split(plain, "\n")).alias("ln", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return own.select("id", "th", "ln", F.sort_array(hashes).alias("s"))
 
 
-def _word_set(c: str) -> Column:
-    """The set of a line's words, each as its 64-bit hash."""
-    return F.array_distinct(F.transform(_words(c), lambda w: F.xxhash64(w)))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """The lines with a word, and k1, k2: 128 bits of their word sets."""
+    return lines.where(F.size("s") > 0).withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("s", F.lit(1))})
 
 
 def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
@@ -67,125 +72,168 @@ def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
 
 def _in_bitmap(keys: DataFrame, key: str, scratch: Scratch) -> Column:
     """A test that holds for all values of ``keys``, and for few others: a bitmap of constant size, as a scalar."""
-    place, bit = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(key), F.lit(64)).cast("int"))
-    bits = scratch.save(keys.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("v")))
-    return F.get(_dense(keys.sparkSession, bits, BITMAP_WORDS, "long"), place.cast("int")).bitwiseAND(bit) != 0
+    place = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS))
+    bits = scratch.save(keys.groupBy(place.alias("i")).agg(F.bit_or(_bit(F.col(key))).alias("v")))
+    return F.get(_dense(keys.sparkSession, bits, BITMAP_WORDS, "long"), place.cast("int")).bitwiseAND(_bit(F.col(key))) != 0
 
 
-def rarity_table(docs: DataFrame, text_col: str, scratch: Scratch) -> str:
-    """The COUNTERS levels, joined by commas: a logarithm, 0 to 127, of the count of a counter's words over all documents.
+def rarity_table(lines: DataFrame, scratch: Scratch) -> str:
+    """The COUNTERS levels, joined by commas: a logarithm, 0 to 127, of the count of a counter's words over all lines.
 
     The one value that comes to the driver has a constant size, whatever the corpus.
     """
-    plain = F.lower(F.col(text_col))
-    for x in "\n\t\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(x), F.lit(" "))
-    word = F.explode_outer(F.split(plain, " ")).alias("w")
-    counted = scratch.save(docs.select(word).select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("i")).groupBy("i").agg(F.count("*").alias("v")))
-    level = F.least(F.floor(F.log2(F.coalesce("v", F.lit(0)) + 1) * 4), F.lit(127))
-    full = docs.sparkSession.range(COUNTERS).join(counted, F.col("id") == F.col("i"), "left").select("id", level.cast("string").alias("x"))
-    made = full.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s.x), ",").alias("b")).first()[0]
-    scratch.drop(counted)
-    scratch.release()
-    return made
+    counted = lines.select(F.explode("s").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(COUNTERS - 1)).alias("i")).agg(F.count("*").alias("v"))
+    level = F.least(F.floor(F.log2(F.col("v") + 1) * 4), F.lit(127))
+    counted = scratch.save(counted.select("i", level.alias("v")))
+    return lines.sparkSession.range(1).select(F.array_join(_dense(lines.sparkSession, counted, COUNTERS, "string"), ",")).first()[0]
 
 
-def prefixes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
-    """w, k1, bits, place: a row for each word of each line's probe prefix, its rarest words.
+def line_classes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
+    """k1, k2, id, ln (first position), copies, n (words), bits (their parity on 64 bits) and pre (the probe prefix), a row for each class.
 
-    A word is a number: the rarity class of its counter above 48 bits of its
-    hash.  ``bits`` has the parity of the words that fall on each bit; ``place`` holds the
-    number of words of the line, and below it the word's position.
+    A word of the prefix is a number: the rarity level of its counter above 48 bits of its hash.
     """
     levels = F.split(F.lit(rarity), ",").cast("array<tinyint>")
-    t = settle(lines.select("k1", "line"), h=_word_set("line")).select("k1", "h")
-    pack = lambda x: F.shiftleft(F.get(levels, F.pmod(x, F.lit(COUNTERS)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-    t = settle(t, o=F.sort_array(F.transform("h", pack)), bits=bits).select("k1", "bits", "o")
-    keep = F.expr(f"slice(o, 1, size(o) + 1 - int(ceil({threshold} * size(o) / 100D - 1e-9)))")
-    rows = t.select("k1", "bits", F.size("o").alias("n"), F.posexplode_outer(keep).alias("i", "w")).where("w is not null")
-    return rows.select("w", "k1", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
-
-
-def candidates(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of line hashes that share a prefix word and pass all filters; both sides read one exchange."""
-    t = threshold
-    x = rows.select("w", F.col("k1").alias("a"), F.col("bits").alias("ba"), F.col("place").alias("pa"))
-    y = rows.select("w", F.col("k1").alias("b"), F.col("bits").alias("bb"), F.col("place").alias("pb"))
-    na, nb = F.shiftright("pa", 32), F.shiftright("pb", 32)
-    ia, ib = F.col("pa").bitwiseAND(F.lit(2**32 - 1)), F.col("pb").bitwiseAND(F.lit(2**32 - 1))
-    length = (na <= nb) & (100 * na >= t * nb) & ((F.col("a") < F.col("b")) | ((na < nb) & (F.col("a") != F.col("b"))))
-    position = ((100 + t) * (na - ia) >= t * (na + nb)) & ((100 + t) * (nb - ib) >= t * (na + nb))
+
+    def pack(x):
+        level = F.coalesce(F.get(levels, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(level, 48).bitwiseOR(F.shiftrightunsigned(x, 16))
+
+    bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+    keep = F.size("s") + 1 - F.ceil(F.lit(threshold) * F.size("s") / F.lit(100.0) - 1e-9).cast("int")
+    own = _hashed(lines).select("k1", "k2", F.struct("id", "ln").alias("p"), F.struct(F.size("s").alias("n"), bits.alias("bits"), F.slice(F.sort_array(F.transform("s", pack)), F.lit(1), keep).alias("pre")).alias("v"))
+    made = own.groupBy("k1", "k2").agg(F.min("p").alias("p"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    return made.select("k1", "k2", "p.id", "p.ln", "copies", "v.n", "v.bits", "v.pre")
+
+
+def prefixes(classes: DataFrame, *more: str) -> DataFrame:
+    """w, id, ln, bits, place (words of the line above the word's position in it): a row for each prefix word that another line may have."""
+    rows = classes.select("id", "ln", "bits", "n", *more, F.posexplode("pre").alias("i", "w")).where(F.shiftright("w", 48) > ONCE)
+    return rows.select("w", "id", "ln", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"), *more)
+
+
+def _may_match(t: int) -> Column:
+    """For a row x and a row y of the same word: y is earlier, and no filter rules the pair out."""
+    nx, ny = F.shiftright("x.place", 32), F.shiftright("y.place", 32)
+    ix, iy = F.col("x.place").bitwiseAND(F.lit(2**32 - 1)), F.col("y.place").bitwiseAND(F.lit(2**32 - 1))
+    earlier = (F.col("y.id") < F.col("x.id")) | ((F.col("y.id") == F.col("x.id")) & (F.col("y.ln") < F.col("x.ln")))
+    length = 100 * F.least(nx, ny) >= t * F.greatest(nx, ny)
+    position = ((100 + t) * (nx - ix) >= t * (nx + ny)) & ((100 + t) * (ny - iy) >= t * (nx + ny))
     # every bit that differs is a word that differs
-    differ = (100 + t) * F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= (100 - t) * (na + nb)
-    return x.join(y, "w").where(length & position & differ).select("a", "b").distinct()
+    differ = (100 + t) * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= (100 - t) * (nx + ny)
+    return length & position & differ & earlier
+
+
+def _wide(s: str) -> Column:
+    """WIDE times 64 parity bits of a long line's words, which do not saturate; null for others."""
+    def part(j):
+        own = F.filter(s, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
 
+    return F.when(F.size(s) > 64, F.array(*[part(j) for j in range(WIDE)]))
 
-def _parity(words: str, j: int) -> Column:
-    """64 parity bits of the words that fall to part j of SIGNATURE."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
-    own = F.filter(words, lambda x: F.pmod(F.shiftright(x, 6), F.lit(SIGNATURE)) == j)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
+def _may_match_wide(t: int) -> Column:
+    apart = sum((F.bit_count(F.col("x.wide")[j].bitwiseXOR(F.col("y.wide")[j])) for j in range(WIDE)), F.lit(0))
+    n = F.shiftright("x.place", 32) + F.shiftright("y.place", 32)
+    return _may_match(t) & F.coalesce((100 + t) * apart <= (100 - t) * n, F.lit(True))
 
-def _signed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """a, a2, b, b2: the pairs that longer signatures leave over; no word set is shipped for the others."""
-    t = threshold
-    left = lines.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("n").alias("na"), *[F.col("sig")[j].alias(f"x{j}") for j in range(SIGNATURE)])
-    right = lines.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("n").alias("nb"), *[F.col("sig")[j].alias(f"y{j}") for j in range(SIGNATURE)])
-    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(SIGNATURE)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where((100 + t) * apart <= (100 - t) * (F.col("na") + F.col("nb"))).select("a", "a2", "b", "b2")
 
+def _on_word(x: DataFrame, y: DataFrame, met: Column, how: str, names: tuple[str, str] = ("x", "y")) -> DataFrame:
+    return x.alias(names[0]).join(y.alias(names[1]), (F.col("x.w") == F.col("y.w")) & met, how)
 
-def first_positions(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """k1, k2, cut of each class of equal lines that has a copy or an earlier match: lines after ``cut`` go."""
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: int, scratch: Scratch) -> DataFrame:
+    """k1, k2 of the classes of ``pairs`` (k1, k2, b1, b2) that have a true match among them."""
+    pairs = scratch.save(pairs)
+    left = sets.where(_in_bitmap(pairs, "k1", scratch)).select("k1", "k2", F.col("s").alias("x"))
+    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("s").alias("y")).where(_in_bitmap(pairs, "b1", scratch))
+    both = pairs.join(left, ["k1", "k2"]).join(right, ["b1", "b2"])
+    return scratch.save(both.where((100 + t) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))).select("k1", "k2").distinct())
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select("x.k1", "x.k2", F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct()
+
+
+def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> DataFrame | None:
+    """k1, k2 of the classes that match an earlier one; None if none has a candidate."""
+    rows = prefixes(classes)
+    some = scratch.save(_on_word(rows, rows, _may_match(t), "left_semi"))
+    scratch.release()
+    if not some.limit(1).count():
+        return None
+    # with their keys: the open rows, and all that an open row might match
+    itself = (F.col("x.id") == F.col("y.id")) & (F.col("x.ln") == F.col("y.ln"))
+    listed = prefixes(classes, "k1", "k2").where(_in_bitmap(some, "w", scratch))
+    members = scratch.save(_on_word(listed, some, itself | _may_match(t), "left_semi", ("y", "x")))
+    ends = scratch.save(members.select("k1", "k2").distinct())
+    near = _hashed(lines).where(_in_bitmap(ends, "k1", scratch)).select("k1", "k2", "s").join(ends, ["k1", "k2"], "left_semi")
+    sets = scratch.save(near.groupBy("k1", "k2").agg(F.first("s").alias("s")).withColumn("wide", _wide("s")))
+    scratch.release()
+    # the same once more with signatures that do not saturate on long lines
+    members = scratch.save(members.join(sets.select("k1", "k2", "wide"), ["k1", "k2"]))
+    may = _may_match_wide(t)
+    still = scratch.save(_on_word(members.join(some, ["w", "id", "ln", "place"], "left_semi"), members, may, "left_semi"))
+    members = scratch.save(_on_word(members, still, itself | may, "left_semi", ("y", "x")))
+    size = members.count()
+    sizes = scratch.save(members.groupBy("w").agg(F.count("*").alias("m")))
+    chosen = F.min(F.struct("id", "ln", "bits", "place", "k1", "k2", "wide")).alias("p")
+    # most classes match the first class of one of their lists, and need no other
+    first = members.groupBy("w").agg(chosen).select("w", "p.*")
+    best = _on_word(still, first, may, "inner").groupBy("x.k1", "x.k2").agg(F.min(F.struct("y.id", "y.ln", "y.k1", "y.k2")).alias("p"))
+    done = _verified(best.select("k1", "k2", F.col("p.k1").alias("b1"), F.col("p.k2").alias("b2")), sets, t, scratch)
+    still = scratch.save(still.join(done, ["k1", "k2"], "left_anti"))
+    for turn, salts in enumerate(ROUNDS):
+        work = still.groupBy("w").agg(F.count("*").alias("c")).join(sizes, "w").agg(F.sum(F.col("c") * F.col("m"))).first()[0] or 0
+        if work <= OPEN * size:
+            break
+        salt = F.pmod(F.xxhash64("k1", F.lit(turn)), F.lit(salts)).alias("salt")
+        pivots = members.groupBy("w", salt).agg(chosen).select("w", "p.*")
+        found = _verified(_pairs(_on_word(still, pivots, may, "inner")), sets, t, scratch)
+        done = done.unionByName(found)
+        still = scratch.save(still.join(found, ["k1", "k2"], "left_anti"))
+    done = done.unionByName(_verified(_pairs(_on_word(still, members, may, "inner")), sets, t, scratch))
+    done = scratch.save(done)
+    scratch.drop(some, still, members, sets, ends, sizes)
+    scratch.release()
+    return done
+
+
+def lines_to_remove(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """id, th (hash of the text) and ln of each line that goes; a null id is LAST."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line_dedup")
     t = round(threshold * 100)
-    lines = _lines(docs, min_words, id_col, text_col)
-    classes = scratch.save(lines.select(*_keys(), F.struct("id", "ln").alias("p")).groupBy("k1", "k2").agg(F.min("p").alias("p"), F.count("*").alias("copies")))
-
-    rarity = rarity_table(docs, text_col, scratch)
-    # lines with very many copies, at most a thousand of them, are written out once only
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    hot = classes.where(F.col("copies") > F.lit(max(1, total // 1000))).select(F.col("k1").alias("hk"), F.col("p.id").alias("hid"), F.col("p.ln").alias("hln"))
-    once = lines.select("id", "ln", "line", *_keys()).join(F.broadcast(hot), F.col("k1") == F.col("hk"), "left").where("hk is null or (id = hid and ln = hln)")
-    pairs = scratch.save(candidates(prefixes(once, rarity, t), t))
-    scratch.release()
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    maybe = lines.select("line", *_keys()).where(_in_bitmap(ends, "k1", scratch))
-    sets = maybe.dropDuplicates(["k1", "k2"]).join(ends, "k1", "left_semi").select("k1", "k2", _word_set("line").alias("s"))
-    sets = scratch.save(settle(sets, sig=F.array(*[_parity("s", j) for j in range(SIGNATURE)])))
-    scratch.release()
-    near = scratch.save(_signed(pairs, sets.select("k1", "k2", F.size("s").alias("n"), "sig"), t))
+    lines = scratch.save(split_lines(docs, id_col, text_col), dictionary=False)
+    classes = scratch.save(line_classes(lines, rarity_table(lines, scratch), t))
     scratch.release()
-    # only pairs that the signatures leave over meet their whole sets
-    left = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("s").alias("x"))
-    right = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = near.join(left, ["a", "a2"]).join(right, ["b", "b2"]).where((100 + t) * both >= t * (F.size("x") + F.size("y"))).select("a", "a2", "b", "b2")
-    links = scratch.save(links)
-    scratch.drop(sets, pairs, near)
+    found = matched(lines, classes, t, scratch)
+    cuts = classes.select("k1", "k2", F.struct("id", "ln").alias("cut"), "copies")
+    if found is None:
+        cuts = cuts.withColumn("all", F.lit(False))
+    else:
+        cuts = cuts.join(found.withColumn("all", F.lit(True)), ["k1", "k2"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
+    cuts = scratch.save(cuts.where("all or copies > 1").drop("copies"))
+    own = _hashed(lines).where(_in_bitmap(cuts, "k1", scratch)).select("id", "th", "ln", "k1", "k2")
+    gone = own.join(cuts, ["k1", "k2"]).where(F.col("all") | (F.struct("id", "ln") > F.col("cut")))
+    gone = scratch.save(gone.select("id", "th", "ln"))
+    scratch.drop(lines, classes)
     scratch.release()
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
-    first = each.join(classes.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), "p"), ["b", "b2"]).groupBy(F.col("a").alias("k1"), F.col("a2").alias("k2")).agg(F.min("p").alias("q"))
-    out = classes.join(first, ["k1", "k2"], "left").where("copies > 1 or q < p")
-    return out.select("k1", "k2", F.least("p", F.coalesce("q", "p")).alias("cut"))
+    return gone
 
 
-def deduplicate(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The rows with their later matching lines removed; with ``counts`` also n_lines, n_removed and removed (line numbers).
 
     Every row comes back, null texts as null, texts that lose all lines as empty.
     Rows that repeat an id and its text are one document: none removes the other's
     lines.  Rows of one id with different texts stand at the same position, and
     neither is later than the other.  A null id comes after all others.  Other
-    columns pass through.  Names beginning with ``_ld_`` are reserved.
+    columns pass through.  An empty table stays empty.  Names beginning with ``_ld_`` are reserved.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
-    cuts = scratch.save(first_positions(docs, threshold=threshold, min_words=min_words, id_col=id_col, text_col=text_col, scratch=scratch))
-    gone = _lines(docs, min_words, id_col, text_col).select("id", "th", "ln", *_keys()).join(cuts, ["k1", "k2"]).where(F.struct("id", "ln") > F.col("cut"))
+    gone = lines_to_remove(docs, threshold=threshold, id_col=id_col, text_col=text_col, scratch=scratch)
     gone = gone.groupBy(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th")).agg(F.sort_array(F.collect_set("ln")).alias("_ld_gone"))
     gone = scratch.save(gone)
     scratch.release()

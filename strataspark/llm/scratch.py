@@ -32,10 +32,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "zstd", dictionary: bool = True) -> DataFrame:
+        """``df``, written and to be read back; columns of hashes are better written without ``dictionary``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
