@@ -26,6 +26,8 @@ blank lines stay.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ ONCE = 4
 #: Salts of each further round of pivots; one is made while open rows could meet more than OPEN times the rows of their lists.
 ROUNDS = (4, 8, 16, 32)
 OPEN = 16
+#: Shares of the words that are joined one after the other.
+PASSES = 2
 #: Words of 64 parity bits in the signature of a line of more than 64 words; a power of two.
 WIDE = 8
 LAST = 2**63 - 1
@@ -158,21 +162,27 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> DataFrame | None:
     """k1, k2 of the classes that match an earlier one; None if none has a candidate."""
-    rows = prefixes(classes)
-    some = scratch.save(_on_word(rows, rows, _may_match(t), "left_semi"))
-    scratch.release()
+    itself = (F.col("x.id") == F.col("y.id")) & (F.col("x.ln") == F.col("y.ln"))
+    parts = []
+    for part in range(PASSES):  # a share of the words at a time, so that less lies in shuffles at once
+        own = F.pmod("w", F.lit(PASSES)) == part
+        rows = prefixes(classes).where(own)
+        open_ = scratch.save(_on_word(rows, rows, _may_match(t), "left_semi"))
+        scratch.release()
+        # with their keys: the open rows, and all that an open row might match
+        listed = prefixes(classes, "k1", "k2").where(own).where(_in_bitmap(open_, "w", scratch))
+        parts.append((open_, scratch.save(_on_word(listed, open_, itself | _may_match(t), "left_semi", ("y", "x")))))
+        scratch.release()
+    some, members = (functools.reduce(DataFrame.unionByName, x) for x in zip(*parts))
     if not some.limit(1).count():
         return None
-    # with their keys: the open rows, and all that an open row might match
-    itself = (F.col("x.id") == F.col("y.id")) & (F.col("x.ln") == F.col("y.ln"))
-    listed = prefixes(classes, "k1", "k2").where(_in_bitmap(some, "w", scratch))
-    members = scratch.save(_on_word(listed, some, itself | _may_match(t), "left_semi", ("y", "x")))
     ends = scratch.save(members.select("k1", "k2").distinct())
     near = _hashed(lines).where(_in_bitmap(ends, "k1", scratch)).select("k1", "k2", "s").join(ends, ["k1", "k2"], "left_semi")
     sets = scratch.save(near.groupBy("k1", "k2").agg(F.first("s").alias("s")).withColumn("wide", _wide("s")))
     scratch.release()
     # the same once more with signatures that do not saturate on long lines
     members = scratch.save(members.join(sets.select("k1", "k2", "wide"), ["k1", "k2"]))
+    scratch.drop(*[m for _, m in parts])
     may = _may_match_wide(t)
     still = scratch.save(_on_word(members.join(some, ["w", "id", "ln", "place"], "left_semi"), members, may, "left_semi"))
     members = scratch.save(_on_word(members, still, itself | may, "left_semi", ("y", "x")))
@@ -195,7 +205,7 @@ def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> D
         still = scratch.save(still.join(found, ["k1", "k2"], "left_anti"))
     done = done.unionByName(_verified(_pairs(_on_word(still, members, may, "inner")), sets, t, scratch))
     done = scratch.save(done)
-    scratch.drop(some, still, members, sets, ends, sizes)
+    scratch.drop(*[o for o, _ in parts], still, members, sets, ends, sizes)
     scratch.release()
     return done
 
