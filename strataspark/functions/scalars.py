@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name segments that mark a layer, and the layers' ranks from the domain outwards.
+#: Name segments (in lower case) that mark a layer, and the layers' ranks from the domain outwards.
 LAYERS = {
-    "Domain": 0, "Entity": 0, "Model": 0,
-    "Application": 1, "Service": 1, "UseCase": 1,
-    "Infrastructure": 2, "Repository": 2, "Persistence": 2,
-    "Controller": 3, "Presentation": 3, "UI": 3,
+    "model": 0, "entity": 0, "domain": 0,
+    "repository": 1, "persistence": 1,
+    "service": 2, "application": 2, "handler": 2,
+    "controller": 3, "command": 3, "console": 3, "api": 3,
 }
 
 
@@ -58,10 +58,19 @@ def runtime_bucket(depth: Column) -> Column:
 
 
 def layer_rank(name: Column) -> Column:
-    """Rank of the right-most segment of a \\-separated name that names a layer; null without one."""
+    """Rank of the right-most segment of a \\-separated name that names a layer in any letter case; null without one."""
     ranks = F.create_map(*[F.lit(x) for pair in LAYERS.items() for x in pair])
-    known = F.filter(F.split(name, r"\\"), lambda s: s.isin(*LAYERS))
-    return F.when(F.size(known) > 0, F.element_at(ranks, F.element_at(known, -1)))
+    return F.element_at(ranks, layer_name(name))
+
+
+def layer_name(name: Column) -> Column:
+    """The right-most segment that names a layer, in lower case; null without one."""
+    known = F.filter(F.split(F.lower(name), r"\\"), lambda s: s.isin(*LAYERS))
+    return F.try_element_at(known, F.lit(-1))
+
+
+def namespace_of(name: Column) -> Column:
+    return F.regexp_replace(name, r"\\?[^\\]*$", "")
 
 
 def short_name(name: Column) -> Column:
@@ -87,9 +96,9 @@ def age_days(last: Column, as_of: Column) -> Column:
 
 
 def rule_slug(message: Column, category: Column) -> Column:
-    """category/slug: other characters than letters and digits become one dash, at most 60 characters."""
-    slug = F.regexp_replace(F.lower(message), "[^a-z0-9]+", "-")
-    return F.concat_ws("/", F.lit("STR"), category, F.regexp_replace(F.substring(F.regexp_replace(slug, "^-|-$", ""), 1, 60), "-$", ""))
+    """category/slug: other characters than letters and digits become one dash; letters keep their case; at most 60 characters."""
+    slug = F.regexp_replace(F.regexp_replace(message, "[^a-zA-Z0-9]+", "-"), "^-|-$", "")
+    return F.concat_ws("/", F.lit("STR"), category, F.substring(slug, 1, 60))
 
 
 def glob_to_regex(pattern: str) -> str:

@@ -31,3 +31,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
     return df.select("*", made).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
+BITMAP_WORDS = 1 << 17
+
+
+def in_bitmap(keys: DataFrame, key: str) -> Column:
+    """A test that holds for all values of the long column ``key`` of ``keys``, and for few others: a bitmap of constant size, as a scalar."""
+    place, bit = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(key), F.lit(64)).cast("int"))
+    bits = keys.groupBy(place.alias("i")).agg(F.bit_or(bit).alias("v"))
+    full = keys.sparkSession.range(BITMAP_WORDS).join(bits, F.col("id") == F.col("i"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    whole = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x.v).alias("a")).scalar()
+    return F.get(whole, place.cast("int")).bitwiseAND(bit) != 0

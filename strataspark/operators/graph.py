@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,30 +102,38 @@ def cycles(scc: DataFrame) -> DataFrame:
     return scc.groupBy("scc").agg(F.count("*").alias("cycle_length"), F.array_join(F.sort_array(F.collect_list(F.col("node"))).cast("array<string>"), ",").alias("members")).where("cycle_length > 1")
 
 
-def group_components(edges: DataFrame, group: list[str]) -> DataFrame:
-    """Connected components of the undirected graph (a, b) in each group: their number, nodes and largest size.
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the smallest node of its component) for every end of the undirected ``edges`` (a, b).
 
-    Groups are small by nature (members of one class); each is one union-find.
+    Large-star and small-star steps until nothing changes, each cut, so that a lost
+    executor costs one step and no group has to fit in one task.
     """
-    keys = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in group)
-
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}
+    ends = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = cut(small)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    return ends.join(now.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
-        def root(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
 
-        for a, b in zip(pdf["a"], pdf["b"]):
-            up[root(a)] = root(b)
-        size = defaultdict(int)
-        for x in list(up):
-            size[root(x)] += 1
-        return pd.DataFrame([[*key, len(size), len(up), max(size.values())]], columns=[*group, "components", "nodes", "largest"])
+def group_components(edges: DataFrame, group: list[str]) -> DataFrame:
+    """Connected components of the undirected graph (a, b) in each group: their number, nodes and largest size.
 
-    return edges.groupBy(*group).applyInPandas(count, f"{keys}, components long, nodes long, largest long")
+    All groups are one graph whose nodes carry their group, so a large group is no
+    larger a task than many small ones.
+    """
+    own = edges.select(*[F.struct(*group, F.col(c).alias("n")).alias(c) for c in ("a", "b")])
+    sizes = components(own).groupBy("comp").agg(F.count("*").alias("k")).select(*[F.col(f"comp.{c}") for c in group], "k")
+    return sizes.groupBy(*group).agg(F.count("*").alias("components"), F.sum("k").alias("nodes"), F.max("k").alias("largest"))
 
 
 def tree_depth(parents: DataFrame, *, node: str = "node", parent: str = "parent") -> DataFrame:

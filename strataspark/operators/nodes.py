@@ -87,11 +87,17 @@ def dead_members(private: DataFrame, calls: DataFrame) -> DataFrame:
     return private.where("not is_magic").join(calls.select("class_id", "name").distinct(), ["class_id", "name"], "left_anti")
 
 
-SMELLS = {"eval": "E", "exec": "E", "system": "E", "passthru": "E", "shell_exec": "E", "popen": "E", "proc_open": "E", "pcntl_exec": "E", "md5": "W", "sha1": "W", "unserialize": "W"}
+#: Functions that run code or commands, weak hashes, and the other smells that the parser records.
+DANGEROUS = ("eval", "exec", "system", "shell_exec", "passthru", "proc_open", "popen", "pcntl_exec")
+WEAK_HASHES = ("md5", "sha1")
+OTHER_SMELLS = ("unserialize", "sql concat")
 
 
 def security_smells(nodes: DataFrame, *by: str) -> DataFrame:
-    """Calls of dangerous functions and weak hashes: their number, first three and level."""
-    hits = nodes.where(F.col("kind").isin("call", "eval") & F.col("value").isin(*SMELLS))
+    """Calls of dangerous functions and weak hashes, SQL texts joined with values, unserialize without allowed classes.
+
+    Their number, the first three (value:line) and the level: ERROR if any runs code or commands.
+    """
+    hits = nodes.where(F.col("kind").isin("call", "eval", "sql concat") & F.col("value").isin(*DANGEROUS, *WEAK_HASHES, *OTHER_SMELLS))
     said = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("start_line", "value"))), 1, 3), lambda s: F.concat_ws(":", s.value, s.start_line))
-    return hits.groupBy(*by).agg(F.count("*").alias("smell_count"), said.alias("smells"), F.when(F.bool_or(F.col("value").rlike("eval|exec|system|passthru|popen|proc_open")), "ERROR").otherwise("WARNING").alias("level"))
+    return hits.groupBy(*by).agg(F.count("*").alias("smell_count"), said.alias("smells"), F.when(F.bool_or(F.col("value").isin(*DANGEROUS)), "ERROR").otherwise("WARNING").alias("level"))

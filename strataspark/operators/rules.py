@@ -22,6 +22,10 @@ COUNT_LEVEL = {
 }
 
 
+#: Interfaces of classes whose methods need not share fields.
+LISTENERS = ("EventSubscriberInterface", "EventListenerInterface", "ListenerInterface")
+
+
 @dataclass(frozen=True)
 class Thresholds:
     long_file: int = 400
@@ -138,8 +142,10 @@ def solid_violation(violations: Column) -> Column:
     return F.when(violations != "", WARNING)
 
 
-def untested_complex(cc: Column, has_test: Column, exempt: Column, t: Thresholds = Thresholds()) -> Column:
-    return F.when(~exempt & ~F.coalesce(has_test, F.lit(False)) & (cc >= t.untested_cc), WARNING)
+def untested_complex(cc: Column, has_test: Column, exempt: Column, t: Thresholds = Thresholds(), infrastructure: bool | Column = True) -> Column:
+    """Holds only in projects that test at all (``infrastructure``)."""
+    there = F.lit(infrastructure) if isinstance(infrastructure, bool) else infrastructure
+    return F.when(there & ~exempt & ~F.coalesce(has_test, F.lit(False)) & (cc >= t.untested_cc), WARNING)
 
 
 def hotspot(churn: Column, cc: Column, t: Thresholds = Thresholds()) -> Column:
@@ -147,12 +153,15 @@ def hotspot(churn: Column, cc: Column, t: Thresholds = Thresholds()) -> Column:
 
 
 def skips_lcom(name: Column, kind: Column, methods: Column, implements: Column | None = None, framework: bool = False) -> Column:
-    """Classes whose cohesion says nothing: no real class, at most one method, errors, and a framework's handlers."""
+    """Classes whose cohesion says nothing: no real class, at most one method, errors, listeners, and a framework's handlers.
+
+    ``implements``: names of the interfaces, with or without namespace.
+    """
     out = kind.isin("enum", "interface", "trait") | (methods <= 1) | glob(name, "*Exception") | glob(name, "*Error")
     if framework:
         for p in ("*Subscriber", "*Listener", "*Command", "*Handler"):
-            out = out | glob(name, p)
-    return out if implements is None else out | F.exists(implements, lambda i: glob(i, "*Exception"))
+            out = out | glob(F.substring_index(name, "\\", -1), p)
+    return out if implements is None else out | F.exists(F.coalesce(implements, F.array().cast("array<string>")), lambda i: F.substring_index(i, "\\", -1).isin(*LISTENERS))
 
 
 def counts(found: DataFrame) -> DataFrame:

@@ -51,19 +51,26 @@ def totals(covered: DataFrame) -> DataFrame:
 def suffix_join(left: DataFrame, right: DataFrame, *, left_path: str, right_path: str, separator: str = "/") -> DataFrame:
     """Rows of ``left`` with the row of ``right`` whose path equals theirs, or of which one is a path suffix of the other.
 
-    Every suffix that starts at a segment is a key, so this is an equi-join and not
-    a comparison of all pairs.  The longest shared suffix wins, then the smaller path.
+    Every suffix that starts at a segment is a key.  Two equi-joins: whole left
+    paths with suffixes of right ones, and whole right paths with suffixes of left
+    ones, so that a frequent base name meets only paths that consist of it.  Right
+    rows are one for each path, the greatest.  The longest shared suffix wins, then
+    the greater path.  A row that is repeated on the left comes back as often.
     """
     def suffixes(path):
         parts = F.split(path, separator)
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1000), separator))
-
-    a = left.select("*", F.explode(suffixes(left_path)).alias("_k")).withColumn("_whole", F.col("_k") == F.col(left_path))
-    b = right.select("*", F.explode(suffixes(right_path)).alias("_k")).withColumn("_whole2", F.col("_k") == F.col(right_path))
-    hit = a.join(b, "_k").where("_whole or _whole2").withColumn("_n", F.length("_k"))
-    cols = [c for c in left.columns]
-    best = hit.groupBy(*cols).agg(F.max_by(F.struct(*[F.col(c) for c in right.columns if c not in cols]), F.struct("_n", F.col(right_path))).alias("_b"))
-    return best.select(*cols, "_b.*")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), separator))
+
+    own = [c for c in right.columns if c not in left.columns]
+    row = F.struct(*[F.col(c) for c in own]).alias("_b")
+    b = right.select(F.col(right_path).alias("_rp"), row).groupBy("_rp").agg(F.max("_b").alias("_b"))
+    paths = left.select(F.col(left_path).alias("_lp")).where("_lp is not null").distinct()
+    # the best right path of each whole key, before it meets the left ones
+    by_suffix = b.select(F.explode(suffixes("_rp")).alias("_lp"), F.struct(F.col("_rp"), F.col("_b")).alias("r")).groupBy("_lp").agg(F.max("r").alias("r"))
+    up = paths.join(by_suffix, "_lp").select("_lp", F.struct(F.length("_lp").alias("n"), "r").alias("h"))
+    down = paths.select("_lp", F.explode(suffixes("_lp")).alias("_rp")).join(b, "_rp").select("_lp", F.struct(F.length("_rp").alias("n"), F.struct("_rp", "_b").alias("r")).alias("h"))
+    best = up.unionByName(down).groupBy("_lp").agg(F.max("h").alias("h")).select("_lp", F.col("h.r._b").alias("_b"))
+    return left.join(best, F.col(left_path) == F.col("_lp")).select(*[left[c] for c in left.columns], "_b.*")
 
 
 def gaps(covered: DataFrame, *, cc: int = 8, n: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.stage import cut
 from ..operators import coupling, duplication, graph, history, nodes, rollup, rules, scores, testmap, text
 
 AS_OF = "2024-02-01 00:00:00"
@@ -400,12 +401,13 @@ def too_many_parameters(spark, sf_dir):
 
 def _measured(spark, sf_dir):
     """Documents with their measures, the means of their language, churn, tests and class-like counts."""
-    d = _documents(spark, sf_dir).withColumn("path", F.col("doc_id") % 100)
+    # measured once: texts and tokens are gone before anything is joined
+    d = cut(_documents(spark, sf_dir).drop("text", "tokens").withColumn("path", F.col("doc_id") % 100))
     mean = d.groupBy("lang").agg(F.avg("effort").alias("mean_effort"), F.avg("mi").alias("mean_mi"))
     churned = _log(spark, sf_dir).groupBy("path").agg(F.countDistinct("commit").alias("churn"), F.countDistinct("author").alias("authors"))
     tested = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("has_test"))
     out = d.join(mean, "lang").join(churned, "path", "left").join(tested, "doc_id", "left").na.fill(0, ["churn", "authors"])
-    return out.withColumns({"has_test": F.coalesce("has_test", F.lit(False)), "uses": F.col("unique_operands") % 40, "lcom": F.col("operators") % 4})
+    return cut(out.withColumns({"has_test": F.coalesce("has_test", F.lit(False)), "uses": F.col("unique_operands") % 40, "lcom": F.col("operators") % 4}))
 
 
 def _rules(d: DataFrame) -> dict:

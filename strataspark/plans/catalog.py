@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bindings
-from .oracle import ORACLE
+from . import bindings, programs
+from .oracle import ORACLE as TABLES
 
-QUERIES: dict = {name: getattr(bindings, name) for name in ORACLE}
+ORACLE: dict[str, str] = {**TABLES, **programs.ORACLE}
+QUERIES: dict = {name: getattr(bindings, name) for name in TABLES} | programs.QUERIES

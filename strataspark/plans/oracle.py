@@ -154,7 +154,7 @@ SELECT string_agg(lo, '/' ORDER BY i) AS common_path FROM q, f WHERE i < cut""",
 q AS (SELECT page_id, o, CASE WHEN a > 0 THEN 100 / a * (a - t) ELSE 0.0 END AS s FROM p)
 SELECT page_id, round(s, 6) AS share, o AS outputs, CASE WHEN s > 25 OR o > 10 THEN 'WARNING' END AS level FROM q""",
     "rule_slug": """WITH p AS (SELECT DISTINCT p_name, p_type FROM part)
-SELECT p_name, p_type, 'STR/size/' || regexp_replace(left(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60), '-$', '') AS slug FROM p""",
+SELECT p_name, p_type, 'STR/size/' || left(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' / ' || p_type, '[^a-zA-Z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60) AS slug FROM p""",
     "output_count": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "git_churn": _w(LOG, """SELECT path, count(DISTINCT event_id) AS churn, count(DISTINCT user_id) AS authors, md5((SELECT string_agg(u::VARCHAR, ',' ORDER BY u) FROM (SELECT DISTINCT user_id AS u FROM lg b WHERE b.path = a.path))) AS author_list_md5,
   CAST(round((epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts)))) / 86400) AS BIGINT) AS age_days FROM lg a GROUP BY path"""),

@@ -16,10 +16,11 @@ from ..sources import php
 from ..tools import Analysis
 
 
-def analyse(spark: SparkSession, root: str, *, log: DataFrame | None = None, as_of: str = "2024-01-01 00:00:00", thresholds: Thresholds = Thresholds(), package_depth: int = 2, excludes: tuple[str, ...] = ()) -> Analysis:
+def analyse(spark: SparkSession, root: str, *, log: DataFrame | None = None, as_of: str = "2024-01-01 00:00:00", thresholds: Thresholds = Thresholds(), package_depth: int = 2, excludes: tuple[str, ...] = (), framework: bool = False) -> Analysis:
     """Scan, parse and measure the PHP files below ``root``.
 
-    ``log``: commits as (path, commit, author, ts) with the files' paths.  The
+    ``log``: commits as (path, commit, author, ts) with the files' paths.
+    ``framework``: the project uses one whose handlers need no cohesion.  The
     parsed records and the class table are cut, since every measure reads them.
     """
     found = source_files.scan_files(spark, root, excludes=excludes)
@@ -47,18 +48,31 @@ def analyse(spark: SparkSession, root: str, *, log: DataFrame | None = None, as_
     parent = edges.where("kind = 'extends'").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
     tree = classes.select(F.col("name").alias("node")).join(parent, "node", "left")
     c = c.join(graph.tree_depth(tree).withColumnRenamed("node", "name").withColumnRenamed("depth", "dit"), "name", "left")
-    ranked = classes.select("name", F.col("name").alias("layer")).withColumn("rank", scalars.layer_rank(F.col("name")))
+    ranked = classes.select("name", scalars.layer_name(scalars.namespace_of(F.col("name"))).alias("layer")).withColumn("rank", scalars.layer_rank(scalars.namespace_of(F.col("name"))))
     c = c.join(coupling.layer_violations(ranked, narrow).select("name", F.col("violations").alias("layer_violations")), "name", "left")
     c = c.join(nodes.type_coverage(php.type_slots(recs), "class_name").withColumnRenamed("class_name", "name"), "name", "left")
     c = c.join(php.dead_private(recs).groupBy(F.col("class_id").alias("name")).agg(F.count("*").alias("dead")), "name", "left")
-    smells = nodes.security_smells(n, "class_id").select(F.col("class_id").alias("name"), F.col("level").alias("smell_level"))
-    c = c.join(smells, "name", "left").join(by_file.select("path", "churn", "authors", "age_days"), "path", "left")
+    def smells(by):
+        return nodes.security_smells(n.where(F.col(by).isNotNull()), by).select(by, F.col("level").alias("smell_level"))
+
+    by_file = by_file.join(smells("path"), "path", "left").join(nodes.output_count(n, "path"), "path", "left").join(php.view(recs, "file").select("path", F.col("params").alias("html_loc")), "path", "left").na.fill(0, ["output_count", "html_loc"])
+    funcs = funcs.join(smells("func_id"), "func_id", "left").join(nodes.output_count(n.where("func_id is not null"), "func_id"), "func_id", "left").na.fill(0, ["output_count"])
+    interfaces = edges.where("kind = 'implements'").groupBy(F.col("src").alias("name")).agg(F.collect_set("dst").alias("interfaces"))
+    c = c.join(smells("class_id").withColumnRenamed("class_id", "name"), "name", "left").join(interfaces, "name", "left")
+    c = c.join(nodes.output_count(n.where("class_id is not null"), "class_id").withColumnRenamed("class_id", "name"), "name", "left").na.fill(0, ["output_count"])
+    c = c.join(by_file.select("path", "churn", "authors", "age_days"), "path", "left")
     named = classes.select("name", scalars.short_name(F.col("name")).alias("short"))
     c = testmap.coverage(testmap.mapping(tests, named), tests, c)
     c = c.na.fill(0, ["method_count", "public_count", "avg_method_cc", "lcom", "cycle_length", "layer_violations", "dead", "churn", "authors", "age_days"]).na.fill(100.0, ["type_coverage"])
     c = coupling.solid(c.withColumn("is_interface", F.col("kind") == "interface"), wide).withColumn("in_cycle", F.col("cycle_length") > 1)
     c = cut(c)
 
+    def means_of(df):
+        return df.agg(*[F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in ("effort", "mi")]).first().asDict()
+
+    by_file, funcs = cut(by_file), cut(funcs)
+    file_means, func_means = means_of(by_file), means_of(funcs)
+    tested_at_all = tests.limit(1).count() > 0
     means = {r: c.agg(*[F.avg(F.coalesce(F.col(k).cast("double"), F.lit(0.0))).alias(k) for k in ("effort", "mi", "lcom")]).first()[r] or 0.0 for r in ("effort", "mi", "lcom")}
     x = F.col
     _, god = rules.god_class(x("public_count"), x("uses") + x("used_by"), x("lcom"), x("long_method"), thresholds)
@@ -66,20 +80,35 @@ def analyse(spark: SparkSession, root: str, *, log: DataFrame | None = None, as_
     checks = {
         "too_long": rules.too_long(x("lloc"), thresholds.long_class), "god_class": god, "too_complex_cc": rules.complex_cc(x("cc"), x("lloc"), thresholds),
         "too_complex_difficulty": rules.complex_difficulty(x("difficulty"), x("lloc"), thresholds), "too_complex_effort": rules.complex_effort(x("effort"), F.lit(means["effort"]), x("lloc"), thresholds),
-        "too_complex_mi": rules.complex_mi(x("mi"), F.lit(means["mi"]), x("lloc"), x("type_coverage"), thresholds), "too_complex_lcom": rules.complex_lcom(x("lcom"), F.lit(means["lcom"]), rules.skips_lcom(x("name"), x("kind"), x("method_count")), thresholds),
-        "too_complex_methods": F.when(x("avg_method_cc") > thresholds.method_cc, "ERROR"), "too_complex_cognitive": F.when(x("max_cognitive") > thresholds.cognitive, "ERROR"),
+        "too_complex_mi": rules.complex_mi(x("mi"), F.lit(means["mi"]), x("lloc"), x("type_coverage"), thresholds), "too_complex_lcom": rules.complex_lcom(x("lcom"), F.lit(means["lcom"]), rules.skips_lcom(x("name"), x("kind"), x("method_count"), x("interfaces"), framework), thresholds),
+        "too_complex_methods": F.when(x("avg_method_cc") > thresholds.method_cc, "ERROR"), "too_much_html": rules.too_much_html(F.lit(0.0), x("output_count"), thresholds.html_class, thresholds.output_class),
         "too_dependent": rules.too_dependent(x("uses"), thresholds.class_uses), "low_type_coverage": rules.low_type_coverage(x("type_coverage"), thresholds), "deep_inheritance": rules.deep_inheritance(x("dit"), thresholds),
         "dependency_cycle": rules.dependency_cycle(x("cycle_length")), "dead_code": rules.dead_code(x("dead")), "security_smell": x("smell_level"), "solid_violation": rules.solid_violation(x("violations")),
-        "untested_complex": rules.untested_complex(x("cc"), x("has_test"), exempt, thresholds),
+        "untested_complex": rules.untested_complex(x("cc"), x("has_test"), exempt, thresholds, tested_at_all),
     }
     problems = rules.problems(c, "name", checks)
-    more = rules.problems(by_file, "path", {"too_long": rules.too_long(x("lloc"), thresholds.long_file), "too_complex_cc": rules.complex_cc(x("cc"), x("lloc"), thresholds), "hotspot": rules.hotspot(x("churn"), x("cc"), thresholds)})
-    less = rules.problems(funcs, "func_id", {"too_long": rules.too_long(x("lloc"), thresholds.long_method), "too_complex_cc": rules.complex_cc(x("cc"), x("lloc"), thresholds), "too_many_parameters": rules.too_many_parameters(x("params"), thresholds)})
+    def standard(mean):
+        return {
+            "too_complex_cc": rules.complex_cc(x("cc"), x("lloc"), thresholds), "too_complex_difficulty": rules.complex_difficulty(x("difficulty"), x("lloc"), thresholds),
+            "too_complex_effort": rules.complex_effort(x("effort"), F.lit(mean["effort"]), x("lloc"), thresholds), "too_complex_mi": rules.complex_mi(x("mi"), F.lit(mean["mi"]), x("lloc"), t=thresholds), "security_smell": x("smell_level"),
+        }
+
+    html = scalars.html_share(x("lloc"), x("html_loc"))
+    more = rules.problems(by_file, "path", {
+        "too_long": rules.too_long(x("lloc"), thresholds.long_file), "hotspot": rules.hotspot(x("churn"), x("cc"), thresholds),
+        "too_much_html": rules.too_much_html(html, x("output_count"), thresholds.html_file, thresholds.output_file), **standard(file_means),
+    })
+    less = rules.problems(funcs, "func_id", {
+        "too_long": rules.too_long(x("lloc"), F.when(x("kind") == "method", thresholds.long_method).otherwise(thresholds.long_function)), "too_many_parameters": rules.too_many_parameters(x("params"), thresholds),
+        "too_complex_cognitive": F.when((x("kind") == "method") & (x("cognitive_complexity") > thresholds.cognitive), "ERROR"),
+        "too_much_html": rules.too_much_html(F.lit(0.0), x("output_count"), thresholds.html_class, thresholds.output_class), **standard(func_means),
+    })
     problems = cut(problems.unionByName(more).unionByName(less).withColumn("message", F.concat_ws(" ", F.translate("rule", "_", " "), F.lit("in"), "entity")))
 
     counts = problems.groupBy(F.col("entity").alias("name")).agg(*[F.count_if(x("level") == level).alias(name) for level, name in (("ERROR", "errors"), ("WARNING", "warnings"), ("INFO", "infos"))])
     scored = c.join(counts, "name", "left").na.fill(0, ["errors", "warnings", "infos"]).withColumn("solid_violations", F.size(F.filter(F.split("violations", ","), lambda v: v != "")).cast("long"))
-    scored = scores.priority(scored).withColumnRenamed("priority", "refactoring_priority")
+    skipped = x("kind").isin("interface", "trait", "enum") | scalars.short_name(x("name")).rlike("(Test|Spec|Cest)$")
+    scored = scores.priority(scored).withColumn("refactoring_priority", F.when(~skipped, x("priority"))).drop("priority")
     scored = scores.debt(scored, problems.select(F.col("entity"), "level"), entity="name")
 
     totals = coupling.coupling_totals(c).select("classes", "distance", "abstractness")

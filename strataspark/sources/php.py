@@ -8,6 +8,7 @@ measure; ``view`` selects a kind.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -434,7 +435,11 @@ class Parser:
                 if w == "$this" and self.at(i + 1) in ("->", "?->") and self.t[i + 2][0] == "id" and self.cls:
                     self.row("access", n, kind="method" if self.at(i + 3) == "(" else "property", name=self.at(i + 2))
             elif kind in ("num", "str"):
-                self.operand(s if len(s) < 200 else s[:200], n)
+                # long literals are one operand each: their beginning and a digest of the whole
+                self.operand(s if len(s) < 200 else s[:160] + hashlib.sha256(s.encode("utf-8", "replace")).hexdigest(), n)
+                if kind == "str" and self.at(i + 1) == "." and prev[1] != "." and SQL_START.match(s):
+                    for _ in range(self.unsafe_parts(i + 2, end)):
+                        self.row("call", n, kind="sql concat", value="sql concat")
             elif kind == "op":
                 if s in ("(", "[", "{", "#["):
                     if s == "(" and self.low(i + 1) in TYPES_OF_CAST and self.at(i + 2) == ")":
@@ -546,10 +551,43 @@ class Parser:
                 method = prev[1] in ("->", "?->")
                 self.node("method call" if method else "call", n, operator="method call" if method else "function call")
                 if not method:
-                    self.row("call", n, kind="call", value=w.lstrip("\\"))
+                    value = w.lstrip("\\")
+                    if value == "unserialize" and self.names_classes(i + 1):
+                        value = "unserialize with allowed_classes"
+                    self.row("call", n, kind="call", value=value)
             i += 1
         return i
 
+    def unsafe_parts(self, i: int, end: int) -> int:
+        """The joins of a chain a . b . c, from its second part on, that hold more than constants so far."""
+        found, safe, depth, first = 0, True, 0, i
+        while True:
+            s = self.at(i) if i < end else ";"
+            kind = self.t[i][0] if i < end else "op"
+            if depth == 0 and kind == "op" and s not in ("(", "[", "{", "->", "?->", "::"):
+                part = self.t[first:i]
+                constant = len(part) == 1 and (part[0][0] == "num" or part[0][0] == "id" or (part[0][0] == "str" and not INTERPOLATED.match(part[0][1])))
+                constant = constant or (len(part) == 3 and part[1][1] == "::" and part[2][0] == "id")
+                safe = safe and constant
+                found += not safe
+                if s != ".":
+                    return found
+                first = i + 1
+            elif kind == "op" and s in ("(", "[", "{"):
+                depth += 1
+            elif kind == "op" and s in (")", "]", "}"):
+                depth -= 1
+            i += 1
+
+    def names_classes(self, opening: int) -> bool:
+        """Whether the second argument of a call is an array with the key allowed_classes."""
+        end, i, depth = self.close(opening), opening + 1, 0
+        while i < end and (depth or self.at(i) != ","):
+            depth += (self.at(i) in ("(", "[", "{")) - (self.at(i) in (")", "]", "}"))
+            i += 1
+        array = self.low(i + 1) if i + 1 < end else ""
+        return array in ("[", "array") and any(self.t[k][0] == "str" and self.at(k).strip("'\"") == "allowed_classes" and self.at(k + 1) == "=>" for k in range(i + 2, end))
+
     def used(self, name: str, line: int, method: str | None) -> None:
         if name.lower() in OWN or not self.cls:
             return
@@ -558,6 +596,11 @@ class Parser:
             self.row("method_call", line, kind="calls", name=f"{self.cls[-1]}::{self.fn[-1]}", dst=f"{self.full(name)}::{method}")
 
 
+#: A literal without values inside that begins with a word of SQL.
+SQL_START = re.compile(r"""(?:'|"(?!(?:[^"\\]|\\.)*[${]))\s*(?:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE)""", re.I)
+INTERPOLATED = re.compile(r'"(?:[^"\\]|\\.)*\$')
+
+
 def parse_file(file_id: int, path: str, text: str) -> list[dict]:
     """The records of one file, or one error record."""
     try:

@@ -50,7 +50,7 @@ def test_scalars(spark):
     assert [value(spark, scalars.urgency(F.lit(x))) for x in (76, 75, 50, 25)] == ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
     for pattern, name, hit in (("*Controller", "UserController", True), ("*Controller", "ControllerX", False), ("a?c", "abc", True), ("[!x]*", "xa", False), ("a.b", "axb", False)):
         assert value(spark, scalars.glob(F.lit(name), pattern)) is hit
-    assert value(spark, scalars.rule_slug(F.lit("Too long: 12/3!"), F.lit("size"))) == "STR/size/too-long-12-3"
+    assert value(spark, scalars.rule_slug(F.lit("Too long: 12/3!"), F.lit("size"))) == "STR/size/Too-long-12-3"
     assert value(spark, scalars.short_name(F.lit("A\\B\\C"))) == "C" and value(spark, scalars.show(F.lit(12.345), "percentage")) in ("12.35%", "12.34%")
 
 
