@@ -1,9 +1,11 @@
 """Quality rules per document, and host-level verdicts from them.  DataFrame functions only.
 
 The rules of a document are computed from its own text, without a shuffle.  Rule
-failures are counted per host; a beta prior is fitted to the hosts' failure rates
-by the method of moments, each host's rate is shrunk towards it, and a host whose
-shrunk rate is over the limit is rejected with all its documents.
+failures are counted per host; a beta prior is fitted to the hosts by
+beta-binomial moments (the spread that small counts alone would give is taken
+off), each host's rate is shrunk towards it, and a host is rejected with all its
+documents if its rate lies, by DEVIATIONS posterior deviations, above both the
+prior's mean and MAX_HOST_RATE.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from .settle import settle
 #: What separates words, and the characters counted as symbols.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected if its shrunk rate of failing documents is over this.
-MAX_HOST_RATE = 0.8
+#: A host is rejected if its shrunk rate of failing documents, less DEVIATIONS of its posterior, is over this and over the prior's mean.
+MAX_HOST_RATE, DEVIATIONS = 0.5, 2.0
+#: The prior's strength, in documents, is kept within these.
+STRENGTH = (1.0, 1000.0)
 #: Most rejected hosts that are broadcast; more are joined by a salted shuffle.
 BROADCAST_HOSTS, SALTS = 100_000, 32
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -52,7 +56,7 @@ def with_metrics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n, failed and the shrunk failure rate, from rows of (host, base_failed); a null host has none.
+    """host, n, failed, the shrunk failure rate, its deviation and the prior's mean, from rows of (host, base_failed); a null host has none.
 
     Counts are pre-aggregated in every task, so that a host with a third of all
     rows costs no more than another.  With one host, or hosts all alike, the prior
@@ -62,15 +66,23 @@ def host_rates(rows: DataFrame) -> DataFrame:
 
 
 def _shrunk(hosts: DataFrame) -> DataFrame:
-    rate = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    m = min(max(m if m is not None else 0.5, 1e-3), 1 - 1e-3)
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v else 1000.0
-    return hosts.withColumn("rate", (F.col("failed") + m * strength) / (F.col("n") + strength))
+    """Rates under the beta prior whose moments the hosts' counts have; only sums come to the driver."""
+    n, f = F.col("n").cast("double"), F.col("failed").cast("double")
+    k, total, failed, squares, spread = hosts.agg(F.count("*"), F.sum(n), F.sum(f), F.sum(n * n), F.sum(f * f / n)).first()
+    if not k:
+        return hosts.withColumns({"rate": F.lit(0.0), "deviation": F.lit(0.0), "prior": F.lit(0.0)})
+    m = min(max(failed / total, 1e-3), 1 - 1e-3)
+    # between-host correlation: what the weighted variance of the rates has beyond binomial noise
+    over = (spread - failed * failed / total) / (m * (1 - m)) - (k - 1)
+    room = total - squares / total - (k - 1)
+    strength = min(max(room / over - 1, STRENGTH[0]), STRENGTH[1]) if over > 0 and room > 0 else STRENGTH[1]
+    rate = (f + m * strength) / (n + strength)
+    return hosts.withColumn("rate", rate).withColumn("deviation", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (n + strength + 1))).withColumn("prior", F.lit(m))
 
 
 def _rejected(rates: DataFrame, max_rate: float) -> DataFrame:
-    return rates.where(F.col("rate") > max_rate).select("host", F.lit(True).alias("host_rejected"))
+    sure = F.col("rate") - DEVIATIONS * F.col("deviation")
+    return rates.where(sure > F.greatest(F.lit(max_rate), F.col("prior"))).select("host", F.lit(True).alias("host_rejected"))
 
 
 def _join_hosts(rows: DataFrame, rejected: DataFrame) -> DataFrame:

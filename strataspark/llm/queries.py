@@ -91,9 +91,11 @@ m AS (
   FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p0 AS (SELECT least(greatest(avg(f / n), 0.001), 0.999) AS mu, var_pop(f / n) AS v FROM h),
-p AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM p0),
-bad AS (SELECT source FROM h, p WHERE (f + mu * k) / (n + k) > 0.8)
+p0 AS (SELECT count(*) - 1 AS j, sum(n) AS t, sum(f) AS g, sum(n * n) / sum(n) AS q, sum(f * f / n) AS s, least(greatest(sum(f) / sum(n), 0.001), 0.999) AS mu FROM h),
+p1 AS (SELECT mu, (s - g * g / t) / (mu * (1 - mu)) - j AS over_, t - q - j AS room FROM p0),
+p AS (SELECT mu, CASE WHEN over_ > 0 AND room > 0 THEN least(greatest(room / over_ - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM p1),
+r AS (SELECT source, n, k, mu, (f + mu * k) / (n + k) AS rate FROM h, p),
+bad AS (SELECT source FROM r WHERE rate - 2 * sqrt(rate * (1 - rate) / (n + k + 1)) > greatest(0.5, mu))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept
 FROM b
