@@ -1,10 +1,10 @@
 """Personal data: detection and keyed, type-consistent surrogates.  DataFrame functions only.
 
 Every entity has a type and a canonical value (an address in lower case, the
-digits of a number, the folded words of a name), and its surrogate is drawn from
+digits of a number, each folded word of a name), and its surrogate is drawn from
 a keyed hash of both, so that all mentions of one entity get the same
-replacement, each in the mention's own format: separators, letter case, script
-and a title's gender stay.  Surrogates are checked against each other and
+replacement, each in the mention's own format: separators, letter case, script,
+country codes and a title's gender stay.  Surrogates are checked against each other and
 against all real values; those that collide are drawn again until none does, so
 that distinct entities stay distinct.
 """
@@ -16,36 +16,28 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: (type, pattern); earlier ones win where several match a mention.  Java patterns without groups that capture.
+TITLED = r" \p{Lu}[\p{L}'-]{1,40}+(?: \p{Lu}[\p{L}'-]{1,40}+)?"
+#: (type, pattern); earlier ones win where several match a mention.  Java patterns without groups that capture.  Repeats are
+#: bounded or possessive and begin at a boundary, so that a long run is scanned once and no match recurses deeply.
 TYPES = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,30}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])"),
-    ("name_f", r"\b(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Госпожа)\b\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
-    ("name_m", r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Господин)\b\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
-    ("name", r"\b(?:Dr|Prof)\b\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
+    ("name_f", r"\b(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Госпожа)\b\.?" + TITLED),
+    ("name_m", r"\b(?:Mr|Herr|Monsieur|Señor|Sr|Господин)\b\.?" + TITLED),
+    ("name", r"\b(?:Dr|Prof)\b\.?" + TITLED),
 )
 ANY = "|".join(f"(?:{p})" for _, p in TYPES)
-NAMES = {
-    ("name_f", "latin"): "Alma Berta Clara Dora Edith Flora Greta Hanna Irene Julia Klara Laura Marta Nora Olga Paula".split(),
-    ("name_m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul".split(),
-    ("name", "latin"): "Alex Robin Kim Sasha Noa Charlie Jona Luca Maris Eden Quinn Rene Toni Sam Jules Kaya".split(),
-    ("name_f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина Ольга Полина Раиса София Тамара Юлия".split(),
-    ("name_m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Леонид Максим Никита Олег Павел Роман Степан".split(),
-    ("name", "cyrillic"): "Саша Женя Валя Слава Шура Паша Тоня Миша Коля Лёня Стася Мика Вася Толя Аля Рома".split(),
-}
-FAMILIES = {
-    "latin": "Abel Bauer Costa Dahl Ekman Faber Gallo Huber Iversen Jansen Keller Lang Moreau Novak Olsen Petit Quist Rossi Sauer Thoma Urban Vidal Weber Xander Young Zeller Arnaud Blanco Conti Duval Ernst Fabre".split(),
-    "cyrillic": "Абрамов Белов Волков Громов Дроздов Егоров Жуков Зайцев Ильин Козлов Лебедев Морозов Новиков Орлов Павлов Романов Соколов Титов Ушаков Фролов".split(),
-}
-TITLE = r"^(\S+ )"
-
-
-def _list(values: list[str]) -> Column:
-    return F.split(F.lit(" ".join(values)), " ")
+TITLE = r"^(?:Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Госпожа|Mr|Herr|Monsieur|Señor|Sr|Господин|Dr|Prof)\.? "
+SALTS = 16
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+CALLING = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Letters of made-up names: for 16 hex digits each, and the endings of given names by gender.
+SYLLABLES = {"latin": ("bdfgklmnprstvzjh", "aeiouaeiouaeioua"), "cyrillic": ("бдфгклмнпрствзжх", "аеиоуаеиоуаеиоуа")}
+ENDINGS = {"latin": {"given_f": "a", "given_m": "o", "given": "e", "family": "n"}, "cyrillic": {"given_f": "а", "given_m": "н", "given": "и", "family": "ов"}}
 
 
 def kind_of(mention: Column) -> Column:
@@ -57,15 +49,69 @@ def kind_of(mention: Column) -> Column:
 
 
 def canonical(kind: Column, mention: Column) -> Column:
+    """An entity's value: what all formats of one have in common.  International numbers keep their plus."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
+    abroad = F.when(mention.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
     # a North American number is one entity with and without its country code
-    national = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
+    national = F.when((kind == "phone") & (F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).when(kind == "phone", abroad).otherwise(digits)
     return (
         F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind.startswith("name"), F.lower(F.regexp_replace(mention, TITLE, ""))).otherwise(national)
     )
 
 
+def _last(value: Column) -> Column:
+    return F.substring_index(value, " ", -1)
+
+
+def found(text: Column) -> Column:
+    """The titled and other mentions of a text: m, k (type), v (canonical value)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
+
+
+def with_mentions(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with _pii_e (the mentions m, k, v of each text, in order) and _pii_g (the gaps around them).
+
+    A person is known by the words of the name, not by the title: a neutral title
+    takes the gender that another mention of the family has in the text, and the
+    full and family names of titled persons are found again without a title.
+    """
+    own = docs.withColumn("_pii_e", found(F.col(text_col)))
+    own = own.withColumn("_pii_e", F.when(F.size("_pii_e") > 0, F.transform("_pii_e", lambda e: F.struct(e.m.alias("m"), e.k.alias("k"), canonical(e.k, e.m).alias("v")))))
+    bare = F.transform(F.filter("_pii_e", lambda e: e.k.startswith("name")), lambda e: F.regexp_replace(e.m, TITLE, ""))
+    own = own.withColumn("_pii_n", F.array_distinct(F.concat(F.filter(bare, lambda n: F.contains(n, F.lit(" "))), F.transform(bare, _last))))
+    # names hold letters, apostrophes and hyphens only, so they stand for themselves in a pattern; titled mentions come first
+    again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}'-])(?:"), F.array_join("_pii_n", "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
+    pattern = F.when(F.size("_pii_n") > 0, again).otherwise(F.lit(ANY))
+    more = F.transform(F.expr(f"regexp_extract_all(`{text_col}`, _pii_p, 0)"), lambda m: F.struct(m.alias("m"), F.coalesce(kind_of(m), F.lit("name")).alias("k")))
+    more = F.transform(more, lambda e: F.struct(e.m.alias("m"), e.k.alias("k"), canonical(e.k, e.m).alias("v")))
+    own = own.withColumn("_pii_p", F.when(F.size("_pii_e") > 0, pattern))
+    own = own.withColumn("_pii_e", F.when(F.size("_pii_n") > 0, more).otherwise(F.col("_pii_e")))
+    for k in ("name_f", "name_m"):
+        own = own.withColumn(f"_pii_{k}", F.transform(F.filter("_pii_e", _of(k)), lambda e: _last(e.v)))
+
+    def known(e):
+        f, m = F.array_contains("_pii_name_f", _last(e.v)), F.array_contains("_pii_name_m", _last(e.v))
+        kind = F.when((e.k == "name") & f & ~m, "name_f").when((e.k == "name") & m & ~f, "name_m").otherwise(e.k)
+        return F.struct(e.m.alias("m"), kind.alias("k"), e.v.alias("v"))
+
+    own = own.withColumn("_pii_e", F.transform("_pii_e", known))
+    own = own.withColumn("_pii_g", F.when(F.size("_pii_e") > 0, F.expr(f"split(`{text_col}`, _pii_p, -1)")))
+    return own.drop("_pii_n", "_pii_p", "_pii_name_f", "_pii_name_m")
+
+
+def _of(kind: str):
+    return lambda e: e.k == kind
+
+
+def entities(e: Column) -> Column:
+    """The (kind, value) whose surrogates a mention needs: a name's words, or the mention's own."""
+    given = F.when(e.k == "name_f", "given_f").when(e.k == "name_m", "given_m").otherwise("given")
+    family = F.struct(F.lit("family").alias("kind"), _last(e.v).alias("value"))
+    both = F.array(F.struct(given.alias("kind"), F.substring_index(e.v, " ", 1).alias("value")), family)
+    return F.when(~e.k.startswith("name"), F.array(F.struct(e.k.alias("kind"), e.v.alias("value")))).when(F.contains(e.v, F.lit(" ")), both).otherwise(F.array(family))
+
+
 def _hex(key: str, kind: Column, value: Column, attempt: Column, part: int) -> Column:
     """64 hex digits from the key, the entity, the attempt and the number of the part."""
     return F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"), F.lit(part)), 256)
@@ -102,6 +148,32 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _chars(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two digits that make country, digits and body a valid number: remainder 97, letters as 10 to 35."""
+    def step(acc, c):
+        code = F.ascii(c)
+        return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
+
+    rest = F.aggregate(_chars(F.concat(body, country, F.lit("00"))), F.lit(0), lambda acc, c: step(acc, c).cast("int"))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def _word(kind: Column, digest: Column, attempt: Column, script: str) -> Column:
+    """A made-up word of a name: syllables drawn from the digest, more of them after collisions."""
+    consonants, vowels = SYLLABLES[script]
+    at = lambda letters, i: F.translate(F.substring(digest, i + 1, 1), "0123456789abcdef", letters)
+    syllable = lambda i: F.concat(at(consonants, 2 * i), at(vowels, 2 * i + 1))
+    out = F.concat(*[syllable(i) for i in range(4)], F.when(attempt >= 2, F.concat(syllable(4), syllable(5))).otherwise(""), F.when(attempt >= 4, F.concat(syllable(6), syllable(7))).otherwise(""))
+    ending = F.lit(ENDINGS[script]["family"])
+    for k in ("given_f", "given_m", "given"):
+        ending = F.when(kind == k, ENDINGS[script][k]).otherwise(ending)
+    return F.concat(out, ending)
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The canonical value of an entity's replacement."""
     a, b = _hex(key, kind, value, attempt, 0), _hex(key, kind, value, attempt, 1)
@@ -109,32 +181,25 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     at = F.instr(value, "@")
     mail = F.concat(_same_shape(F.substring(value, F.lit(1), at - 1), digest), F.lit("@"), _same_shape(F.substring_index(F.substring_index(value, "@", -1), ".", 1), b), F.lit(".example.net"))
     octet = [(_number(a, i, 254) + 1).cast("string") for i in range(4)]
-    body = _same_shape(value, digest, 1)
-    card = F.substring(body, F.lit(1), F.length(value) - 1)
-    latin = ~value.rlike(r"\p{IsCyrillic}")
-    two = F.size(F.split(value, " ")) > 1
-
-    def person(script: str) -> Column:
-        family = F.get(_list(FAMILIES[script]), _number(a, 0, len(FAMILIES[script])).cast("int"))
-        given = F.lit("")
-        for k in ("name_f", "name_m", "name"):
-            given = F.when(kind == k, F.get(_list(NAMES[k, script]), _number(a, 1, len(NAMES[k, script])).cast("int"))).otherwise(given)
-        # the pools are small: later attempts add a second family name, and then a number
-        second = F.get(_list(FAMILIES[script]), _number(a, 2, len(FAMILIES[script])).cast("int"))
-        family = F.when(attempt >= 2, F.concat(family, F.lit("-"), second)).otherwise(family)
-        family = F.when(attempt >= 4, F.concat(family, F.lit("-"), F.translate(F.substring(b, 1, 8), "0123456789", "ghijklmnop"))).otherwise(family)
-        return F.lower(F.when(two, F.concat_ws(" ", given, family)).otherwise(family))
-
+    card = F.substring(_same_shape(value, digest, 1), F.lit(1), F.length(value) - 1)
+    body = F.substring(_same_shape(value, digest, 4), F.lit(5), F.length(value))
+    country = F.substring(value, 1, 2)
+    padded = lambda i, below, n: F.lpad((_number(a, i, below) + 1).cast("string"), n, "0")
+    ssn = F.concat(padded(0, 665, 3), padded(1, 99, 2), padded(2, 9999, 4))  # areas, groups and serials that exist
+    abroad = value.startswith("+")
+    coded = F.when(F.substring(value, 2, 1).isin("1", "7"), _same_shape(value, digest, 2)).when(F.substring(value, 2, 2).isin(*CALLING), _same_shape(value, digest, 3)).otherwise(_same_shape(value, digest, 4))
+    word = F.when(value.rlike(r"\p{IsCyrillic}"), _word(kind, a, attempt, "cyrillic")).otherwise(_word(kind, a, attempt, "latin"))
     return (
         F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "card", F.concat(card, _luhn(card)))
-        .when(kind == "iban", _same_shape(value, digest, 2)).when(kind == "phone", _same_shape(value, digest, 1))
-        .when(kind.startswith("name"), F.when(latin, person("latin")).otherwise(person("cyrillic"))).otherwise(body)
+        .when(kind == "iban", F.concat(country, _iban_check(country, body), body)).when(kind == "ssn", ssn)
+        .when(kind == "phone", F.when(abroad, coded).otherwise(_same_shape(value, digest, 1))).otherwise(word)
     )
 
 
 def shown(kind: Column, mention: Column, canon: Column) -> Column:
     """A canonical surrogate in the format of a mention."""
     # the mention's digits are replaced in order, its separators and country code stay
+    canon = F.when(kind == "phone", F.replace(canon, F.lit("+"), F.lit(""))).otherwise(canon)
     longer = (kind == "phone") & (F.length(F.regexp_replace(mention, "[^0-9]", "")) == F.length(canon) + 1)
     canon = F.when(longer, F.concat(F.lit("1"), canon)).otherwise(canon)
     chars = F.filter(F.split(mention, ""), lambda c: c != "")
@@ -142,15 +207,15 @@ def shown(kind: Column, mention: Column, canon: Column) -> Column:
         return F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9A-Z]", ""))
 
     spread = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(canon, count(c, i), F.lit(1))).otherwise(c)), "")
-    title = F.regexp_extract(mention, TITLE, 1)
-    cased = F.when(mention == F.upper(mention), F.upper(canon)).otherwise(F.array_join(F.transform(F.split(canon, "-"), lambda w: F.initcap(w)), "-"))
+    title = F.regexp_extract(mention, TITLE, 0)
+    cased = F.when(mention == F.upper(mention), F.upper(canon)).otherwise(F.initcap(canon))
     return F.when(kind.startswith("name"), F.concat(title, cased)).when(kind.isin("email", "ip"), canon).otherwise(spread)
 
 
 def _mentions(docs: DataFrame, text_col: str) -> DataFrame:
-    """The mentions of every row that has any, as (kind, value)."""
-    own = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))).alias("m"))
-    return own.select("m", kind_of(F.col("m")).alias("kind")).select("kind", canonical(F.col("kind"), F.col("m")).alias("value"))
+    """The entities of every row that has any, as (kind, value)."""
+    own = with_mentions(docs.select(F.col(text_col)), text_col).select(F.explode("_pii_e").alias("e"))
+    return own.select(F.explode(entities(F.col("e"))).alias("x")).select("x.kind", "x.value")
 
 
 def redrawn(docs: DataFrame, key: str, *, text_col: str = "text", scratch: Scratch) -> DataFrame:
@@ -185,21 +250,23 @@ def replace(docs: DataFrame, *, key: str, text_col: str = "text", counts: bool =
     scratch = Scratch(docs.sparkSession, "pii")
     late = scratch.save(redrawn(docs, key, text_col=text_col, scratch=scratch))
     # texts are the gaps and mentions of one pattern; without a mention nothing else is computed
-    own = docs.withColumn("_pii_m", F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))
-    own = own.withColumn("_pii_g", F.when(F.size("_pii_m") > 0, F.split(text_col, ANY, -1)))
-    own = own.withColumn("_pii_e", F.when(F.size("_pii_m") > 0, F.transform("_pii_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))))
-    own = own.withColumn("_pii_e", F.transform("_pii_e", lambda e: F.struct(e.m.alias("m"), e.k.alias("k"), canonical(e.k, e.m).alias("v"))))
+    own = with_mentions(docs, text_col)
     if late.limit(1).count():
-        texts = own.where(F.size("_pii_m") > 0).select(F.xxhash64(text_col).alias("_pii_h"), F.explode("_pii_e").alias("e")).select("_pii_h", "e.k", "e.v").distinct()
-        of = texts.join(late.select(F.col("kind").alias("k"), F.col("value").alias("v"), "attempt"), ["k", "v"])
-        of = of.groupBy("_pii_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "v"), "attempt"))).alias("_pii_late"))
-        own = own.withColumn("_pii_h", F.xxhash64(text_col)).join(of, "_pii_h", "left")
+        needed = own.where(F.size("_pii_e") > 0).select(F.xxhash64(text_col).alias("_pii_h"), F.explode("_pii_e").alias("e"))
+        needed = needed.select("_pii_h", F.explode(entities(F.col("e"))).alias("x")).select("_pii_h", "x.kind", "x.value").distinct()
+        of = needed.join(late, ["kind", "value"])
+        of = of.groupBy("_pii_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_pii_late"))
+        # copies of one text are many rows of one hash: they are spread over salts
+        of = of.withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumns({"_pii_h": F.xxhash64(text_col), "_pii_salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}).join(of, ["_pii_h", "_pii_salt"], "left")
     else:
         own = own.withColumn("_pii_late", F.lit(None).cast("map<string,int>"))
 
     def new(e):
-        attempt = F.coalesce(F.element_at("_pii_late", F.concat_ws("|", e.k, e.v)), F.lit(0))
-        return F.struct(e.m.alias("m"), e.k.alias("k"), surrogate(e.k, e.v, attempt, key).alias("c"))
+        def drawn(x):
+            return surrogate(x.kind, x.value, F.coalesce(F.element_at("_pii_late", F.concat_ws("|", x.kind, x.value)), F.lit(0)), key)
+
+        return F.struct(e.m.alias("m"), e.k.alias("k"), F.array_join(F.transform(entities(e), drawn), " ").alias("c"))
 
     own = own.withColumn("_pii_e", F.transform("_pii_e", new))
     own = own.withColumn("_pii_s", F.transform("_pii_e", lambda e: shown(e.k, e.m, e.c)))
