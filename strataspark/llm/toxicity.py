@@ -30,8 +30,9 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 SAMPLE, TERMS, STEMS = 20_000, 1_500, range(3, 9)
 #: A term must be in so many toxic rows of the sample and have such log-odds.
 LEAST, ODDS = 4, 1.5
-#: A match inside one of these phrases does not count.
-EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bag", "taking out the trash", "sore loser sportsmanship")
+#: A match inside an exception phrase does not count.  Phrases are a strong word with the word before or after it that at least
+#: so many non-toxic rows of the sample hold and no toxic one, at most PHRASES of them.
+HARMLESS, PHRASES = 3, 500
 SCORES = "doc_id long, score double, n_matches long, weight double"
 
 
@@ -52,7 +53,7 @@ def terms_of(folded: str) -> set[str]:
 class Model:
     weights: dict[str, float]
     curve: tuple[float, ...] = (0.0,)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     centre: tuple[float, ...] = field(default=())
     spread: tuple[float, ...] = field(default=())
 
@@ -91,6 +92,23 @@ class Matcher:
         most = max((w for _, w in best.values()), default=0.0)
         return [math.log1p(total), min(20.0, 100 * total / words), min(20.0, 100 * len(best) / words), math.log1p(kinds), most], len(best), total
 
+    def phrases(self, text: str) -> set[str]:
+        """Each word with a match, together with the word before and with the word after it."""
+        folded = fold(text)
+        at = sorted({end - size + 1 for end, (size, w) in self.auto.iter(folded) if w is not None}) if self.any else []
+        if not at:
+            return set()
+        words, starts, place = folded.split(), {}, 0
+        for i, w in enumerate(words):
+            starts[place] = i  # of the space before the word
+            place += len(w) + 1
+        out = set()
+        for a in at:
+            i = starts.get(a)
+            if i is not None:
+                out.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1)
+        return out
+
     def score(self, x: list[float]) -> float:
         m = self.model
         z = m.curve[0] + sum(c * (v - a) / s for c, v, a, s in zip(m.curve[1:], x, m.centre, m.spread))
@@ -103,12 +121,12 @@ def _texts(stream: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.Rec
             yield batch.slice(a, rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = ()) -> Model:
     """A model from at most ``sample`` labelled rows, those whose ids hash lowest; null labels and texts are left out.
 
     Only the chosen ids (a proven bound) are broadcast.  What comes back to the
     driver is at most TERMS terms and, for each sampled row, a few numbers.
-    Without rows of both labels the model knows no terms and scores everything alike.
+    Exception phrases are learned beside the ones given.  Without rows of both labels the model knows no terms and scores everything alike.
     """
     spark = docs.sparkSession
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
@@ -137,7 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str
     odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (q + 1))
     best = found.where(F.col("pos") >= LEAST).withColumn("w", odds).where(F.col("w") >= ODDS)
     best = best.orderBy((F.col("w") * F.sqrt("pos")).desc(), "term").limit(TERMS).collect()
-    first = Model({r.term: r.w for r in best}, exceptions=exceptions)
+    weights = {r.term: r.w for r in best}
+    plain = spark.sparkContext.broadcast(Model(weights))
+
+    def around(stream):
+        m = Matcher(plain.value)
+        for part in _texts(stream):
+            pos, neg = Counter(), Counter()
+            for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                (pos if y else neg).update(m.phrases(t))
+            yield table(pos, neg)
+
+    spared = rows.select("text", "y").mapInArrow(around, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    spared = spared.where((F.col("pos") == 0) & (F.col("neg") >= HARMLESS)).orderBy(F.desc("neg"), "term").limit(PHRASES).collect()
+    exceptions = (*exceptions, *(r.term for r in spared))
+    first = Model(weights, exceptions=exceptions)
     sent = spark.sparkContext.broadcast(first)
 
     def measure(stream):
