@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .byte_bpe import encode_text, encoding, read_bytes
 from .scratch import Scratch
 
 ROUNDS = 6
+#: Most shards that one task packs.
+SHARDS_PER_TASK = 64
 #: Bytes of a record before its ids: document id (8), place in the document (4), ids used (4); little endian.
 HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("used", "<u4")])
 SHARDS = "shard_id long, first_slot long, n_records long, stride long, doc_ids array<long>, payload_sha256 string, payload binary"
@@ -143,11 +146,61 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, *, key: str, length:
 
     placed = seqs.mapInArrow(place, "shard_id long, slot long, doc_id long, record binary")
     n = max(1, math.ceil(total / records))
-    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # as many tasks as the session has, and more where one would hold over SHARDS_PER_TASK shards
+    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), math.ceil(n / SHARDS_PER_TASK))
     dealt = placed.repartitionByRange(parts, "shard_id").sortWithinPartitions("slot")
     return dealt.mapInArrow(pack, SHARDS)
 
 
+def write_shards(made: DataFrame, folder: str) -> DataFrame:
+    """Write every shard of ``shards`` to its own file in ``folder``; the index: shard_id, first_slot, n_records, stride, payload_sha256, file.
+
+    ``folder`` is a URI or a path that all executors reach (pyarrow names the
+    stores).  A file is written under another name and then moved, so a reader
+    never sees half of one; a task that runs again finds its files in full and
+    leaves them.  The index is returned, one row for each file.
+    """
+    from pyarrow import fs
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for b in stream:
+            names = []
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(5).to_pylist()):
+                name = f"{root}/shard-{shard:012d}.bin"
+                there = store.get_file_info(name)
+                if there.type != fs.FileType.File or there.size != len(payload):
+                    part = f"{name}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as out:
+                        out.write(payload)
+                    store.move(part, name)
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(names, pa.string())], names=["shard_id", "first_slot", "n_records", "stride", "payload_sha256", "file"])
+
+    own = made.select("shard_id", "first_slot", "n_records", "stride", "payload_sha256", "payload")
+    index = own.mapInArrow(run, "shard_id long, first_slot long, n_records long, stride long, payload_sha256 string, file string")
+    return Scratch(made.sparkSession, "shard_index").save(index)
+
+
+def read_from(index: list[tuple[int, int, str]], folder: str, slot: int = 0) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(slot, document id, place, ids) in training order from ``slot`` on: one file after the other, each from its offset.
+
+    ``index``: (first_slot, stride, file) of every shard.  A reader that stopped goes on with its next slot.
+    """
+    from pyarrow import fs
+
+    store = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+    for first, stride, name in sorted(index):
+        with store.open_input_file(name) as f:
+            n = f.size() // stride
+            if first + n <= slot:
+                continue
+            f.seek(max(0, slot - first) * stride)
+            for at in range(max(first, slot), first + n):
+                yield at, *read_record(f.read(stride), stride, 0, 0)
+
+
 def read_record(payload: bytes, stride: int, slot: int, first_slot: int) -> tuple[int, int, list[int]]:
     """(document id, place in the document, ids) of a slot, read at its fixed offset."""
     at = (slot - first_slot) * stride

@@ -86,6 +86,21 @@ def test_secrets(spark):
     assert "entropy_" in got[10].spans and ":42:" not in got[10].spans  # the random key, not the UUID
 
 
+def test_secret_rows_of_all_kinds(spark, nothing):
+    """Random letters are keys, words and documented keys are not; awkward rows have defined results."""
+    found = lambda t: [s["kind"] for s in secret_scan.find(t, re.compile("|".join(a for a in secret_scan.ALLOW if "\\1" not in a)))]
+    for t in ("QwErTyUiOpAsDfGhJkLzXcVbNm", "myEXAMPLEk9x8z7q6w5v4u3t2s1r0", "xkqzjvbnwtrplmqsdfghk"):
+        assert found(t), t
+    for t in ("getUserAccountInformationFromDatabase", "Donaudampfschifffahrtsgesellschaft", "some/path/to/another/place-of-interest", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "internationalisation_of_names_12"):
+        assert not found(t), t
+    long = "word " * 100_000 + "k9x8z7q6w5v4u3t2s1r0pQ"
+    rows = [(1, None), (2, ""), (3, long), (4, long), (4, long), (None, "token=abcdefghijkl")]
+    got = secret_scan.digest(secret_scan.scan(clashing(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 6 and by[1].spans == by[2].spans == "" and by[3].spans == by[4].spans != "" and by[None].n_assign == 1
+    assert secret_scan.scan(nothing).count() == 0
+
+
 def test_entropy_windows_match_direct_counts():
     rng = random.Random(1)
     for _ in range(50):
@@ -161,6 +176,22 @@ def test_shards_hold_every_sequence_once(spark, docs, nothing):
     assert binary_output.shards(nothing, queries.RANKS, public_tokenizers.PATTERN, key="k").count() == 0
 
 
+def test_shard_files_are_read_from_any_slot(spark, docs, tmp_path):
+    made = binary_output.shards(docs, queries.RANKS, public_tokenizers.PATTERN, key="k", length=64, records=16)
+    folder = str(tmp_path / "out")
+    index = binary_output.write_shards(made, folder)
+    again = binary_output.write_shards(made, folder)  # a task that runs again leaves the files as they are
+    rows = sorted((r.first_slot, r.stride, r.file) for r in index.collect())
+    assert rows == sorted((r.first_slot, r.stride, r.file) for r in again.collect())
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"shard-{i:012d}.bin" for i in range(len(rows))]
+    for r in index.collect():
+        assert hashlib.sha256(open(r.file, "rb").read()).hexdigest() == r.payload_sha256
+    whole = list(binary_output.read_from(rows, folder))
+    assert [x[0] for x in whole] == list(range(len(whole)))
+    for slot in (0, 1, 15, 16, 17, len(whole) - 1, len(whole)):
+        assert list(binary_output.read_from(rows, folder, slot)) == whole[slot:]
+
+
 # ---- 3 -----------------------------------------------------------------------
 
 
