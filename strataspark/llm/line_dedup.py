@@ -42,7 +42,7 @@ ONCE = 4
 ROUNDS = (4, 8, 16, 32)
 OPEN = 16
 #: Shares of the words that are joined one after the other.
-PASSES = 2
+PASSES = 3
 #: Words of 64 parity bits in the signature of a line of more than 64 words; a power of two.
 WIDE = 8
 LAST = 2**63 - 1
