@@ -15,7 +15,7 @@ fixed bound; more items only mean more passes over a shard, inside the task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ class Items:
             self.rows = np.zeros((0, window), U)
 
 
-def _search(seq: np.ndarray, doc: np.ndarray, word: np.ndarray, items: list[Items], depth: int) -> list[tuple[np.ndarray, ...]]:
+def _search(seq: np.ndarray, doc: np.ndarray, word: np.ndarray, items: Iterable[Items], depth: int) -> list[tuple[np.ndarray, ...]]:
     """(document index, first word, words, item id, item's first word) of every maximal verbatim run in a shard."""
     array = SuffixArray(seq, depth)
     out = []
@@ -140,24 +140,23 @@ def _search(seq: np.ndarray, doc: np.ndarray, word: np.ndarray, items: list[Item
     return out
 
 
-def _blocks(items: list[tuple[int, str | None]], window: int, block_words: int) -> list[Items]:
+def _blocks(items: list[tuple[int, str | None]], block_words: int) -> list[tuple[list[int], list[str]]]:
+    """The items as they were read, in blocks of about ``block_words`` words."""
     out, ids, texts, n = [], [], [], 0
-
-    def close() -> None:
-        if ids:
-            for a, b, data, offsets in chunks(pa.array(texts, pa.string()), 1 << 40):
-                seq, bounds = words(data, offsets, BY_ALNUM)
-                out.append(Items(np.array(ids[a:b], np.int64), seq, bounds, window))
-
     for i, text in items:
         ids.append(i)
         texts.append(text or "")
         n += len(texts[-1]) // 2
         if n >= block_words:
-            close()
+            out.append((ids, texts))
             ids, texts, n = [], [], 0
-    close()
-    return out
+    return out + [(ids, texts)] if ids else out
+
+
+def _items(block: tuple[list[int], list[str]], window: int) -> Iterator[Items]:
+    for a, b, data, offsets in chunks(pa.array(block[1], pa.string()), 1 << 40):
+        seq, bounds = words(data, offsets, BY_ALNUM)
+        yield Items(np.array(block[0][a:b], np.int64), seq, bounds, window)
 
 
 #: Most text of the test items, in bytes, that one call sends to every task.
@@ -192,8 +191,14 @@ def remove(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     Judged row by row, so a null or repeated id changes nothing.
     """
-    text_col = options.pop("text_col", "text")
-    return _shards(docs, docs.schema, docs.columns.index(text_col), None, items, **options)
+    text_col, item_col, item_text = options.pop("text_col", "text"), options.get("item_col", "item_id"), options.get("item_text_col", "text")
+    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    parts = -(-size // (MAX_ITEM_BYTES // 2)) or 1
+    out = docs
+    for part in range(parts):  # more items than one call sends are searched a share at a time, one after the other in each task
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(parts)) == part)
+        out = _shards(out, docs.schema, docs.columns.index(text_col), None, own, **options)
+    return out
 
 
 def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,7 +242,18 @@ def _shards(docs: DataFrame, schema, text_at: int, rows, items: DataFrame, *, wi
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"the test items hold {size} bytes; pass them in calls of at most {MAX_ITEM_BYTES}")
-    sent = spark.sparkContext.broadcast(_blocks([(r.i, r.t) for r in items.collect()], window, block_words))
+    # the texts are sent, not their indexes, which are some twenty times as large: a task holds those of one block at a time
+    sent = spark.sparkContext.broadcast(_blocks([(r.i, r.t) for r in items.collect()], block_words))
+    kept: list[Items] = []
+
+    def indexes() -> Iterator[Items]:
+        if len(sent.value) > 1:
+            for block in sent.value:
+                yield from _items(block, window)
+            return
+        if not kept:
+            kept.extend(x for block in sent.value for x in _items(block, window))
+        yield from kept
 
     def close(batches, seqs, counts):
         n = np.concatenate(counts)
@@ -248,7 +264,7 @@ def _shards(docs: DataFrame, schema, text_at: int, rows, items: DataFrame, *, wi
         doc = np.repeat(np.arange(len(n)), n + 1)
         word = np.arange(len(seq)) - edges[:-1][doc]
         seq[word < n[doc]] = h
-        found = _search(seq, doc, word, sent.value, window)
+        found = _search(seq, doc, word, indexes(), window)
         cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 5
         if rows:
             yield rows(np.concatenate([b.column(0).to_numpy() for b in batches]), n, edges, cols)

@@ -609,6 +609,18 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.verdicts(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_many_items_are_searched_in_shares(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, words(rng, 12)) for i in range(60)]
+    rows = [(i, words(rng, 20) + (" " + items[i % 60][1] if i % 3 == 0 else "") + " " + words(rng, 20)) for i in range(90)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = [i for i, t in rows if not leaks_by_hand(t, items)[1]]
+    blocks = decontaminate.verdicts(df, bench, block_words=100).collect()  # many blocks of one broadcast
+    assert sorted(r.doc_id for r in blocks if not r.n_hit) == want and len(want) == 60
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 2000)  # several broadcasts
+    assert sorted(r.doc_id for r in decontaminate.remove(df, bench).collect()) == want
+
+
 def test_suffix_array_order_and_search():
     rng = np.random.default_rng(3)
     seq = rng.integers(1, 4, 300).astype(np.uint64)
