@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import coupling, nodes, testmap
+from ..functions.stage import cut
+from ..operators import coupling, graph, nodes, propertygraph, testmap
 from ..sources import php
 
 #: Segments of namespaces, by the row's number.
@@ -107,7 +108,34 @@ def php_test_mapping(spark, sf_dir):
     return testmap.coverage(testmap.mapping(t, c), t, c).select("name", "tests", "has_test", "test_type")
 
 
-QUERIES = {f.__name__: f for f in (php_cyclomatic, php_cognitive, php_output, php_runtime, php_smells, php_members, php_dead, php_edges, php_type_coverage, php_cohesion, php_layers, php_layer_violations, php_test_mapping)}
+def _graph_tables(spark, sf_dir):
+    recs = cut(php.records(sources(spark, sf_dir)))
+    changes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("src/C"), (F.col("event_id") % 100).cast("string"), F.lit(".php")).alias("path"), F.col("user_id").cast("string").alias("author"))
+    return recs, php.classes(recs), php.functions(recs), changes
+
+
+def php_graph_nodes(spark, sf_dir):
+    _, c, f, changes = _graph_tables(spark, sf_dir)
+    return propertygraph.graph_nodes(c, f, changes)
+
+
+def php_graph_edges(spark, sf_dir):
+    """With calls from classes to those 3 further whose number leaves 0 or 2 by 5, and back where it leaves 0."""
+    recs, c, f, changes = _graph_tables(spark, sf_dir)
+    numbered = c.select("name", F.regexp_extract("name", r"C(\d+)$", 1).cast("long").alias("k"))
+    on = numbered.select(F.col("name").alias("src"), (F.col("k") + 3).alias("k")).join(numbered.select(F.col("name").alias("dst"), "k"), "k").where("k % 5 in (0, 2)")
+    used = on.select("src", "dst").unionByName(on.where("k % 5 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    calls = used.select(F.concat("src", F.lit("::run")).alias("src"), F.concat("dst", F.lit("::run")).alias("dst"))
+    edges = php.edges(recs).select("src", "dst", "kind").unionByName(used.withColumn("kind", F.lit("used")))
+    return propertygraph.graph_edges(c, f, edges, calls, graph.strongly_connected(used, small=0), changes)
+
+
+def php_clusters(spark, sf_dir):
+    c = php.classes(php.records(sources(spark, sf_dir)))
+    return propertygraph.clusters(c).select("package", "n", F.md5(F.array_join("classes", ",")).alias("classes_md5"))
+
+
+QUERIES = {f.__name__: f for f in (php_cyclomatic, php_cognitive, php_output, php_runtime, php_smells, php_members, php_dead, php_edges, php_type_coverage, php_cohesion, php_layers, php_layer_violations, php_test_mapping, php_graph_nodes, php_graph_edges, php_clusters)}
 
 _P = """WITH p AS (SELECT p_partkey AS k, p_size::BIGINT AS s, 'src/C' || p_partkey || '.php' AS path,
   ['Model','Entity','Domain','Repository','Persistence','Service','Application','Handler','Controller','Command','Console','Api','Util','Shared'][1 + p_partkey % 14] AS seg,
@@ -115,7 +143,20 @@ _P = """WITH p AS (SELECT p_partkey AS k, p_size::BIGINT AS s, 'src/C' || p_part
 r AS (SELECT *, CASE WHEN seg IN ('Model','Entity','Domain') THEN 0 WHEN seg IN ('Repository','Persistence') THEN 1 WHEN seg IN ('Service','Application','Handler') THEN 2
   WHEN seg IN ('Controller','Command','Console','Api') THEN 3 END::BIGINT AS rank FROM p)
 """
+_M = _P + """, m AS (SELECT name AS class_name, unnest(['run', 'idle'] || CASE WHEN s % 8 = 0 THEN ['make'] ELSE [] END) AS n FROM p),
+u AS (SELECT a.name AS src, b.name AS dst, b.k FROM p a JOIN p b ON b.k = a.k + 3 WHERE b.k % 5 IN (0, 2)),
+w AS (SELECT src, dst FROM u UNION ALL SELECT dst, src FROM u WHERE k % 5 = 0),
+ch AS (SELECT DISTINCT 'src/C' || (event_id % 100) || '.php' AS path, user_id::VARCHAR AS author FROM events)
+"""
 ORACLE = {
+    "php_graph_nodes": _M + """SELECT 'class:' || name AS id, 'class' AS type, name, path FROM p UNION ALL SELECT DISTINCT 'package:App\\' || seg, 'package', 'App\\' || seg, NULL FROM p
+UNION ALL SELECT 'method:' || class_name || '::' || n, 'method', n, NULL FROM m UNION ALL SELECT DISTINCT 'author:' || author, 'author', author, NULL FROM ch WHERE author IS NOT NULL""",
+    "php_graph_edges": _M + """SELECT 'class:' || src AS source, 'class:' || dst AS target, 'depends_on' AS type, 1::BIGINT AS weight FROM w
+UNION ALL SELECT 'class:' || name, 'package:App\\' || seg, 'belongs_to', 1 FROM p UNION ALL SELECT 'class:' || class_name, 'method:' || class_name || '::' || n, 'declares', 1 FROM m
+UNION ALL SELECT 'method:' || src || '::run', 'method:' || dst || '::run', 'calls', 1 FROM w
+UNION ALL SELECT 'class:' || src, 'class:' || dst, 'cycle_member', 1 FROM w WHERE (src, dst) IN (SELECT (src, dst) FROM u WHERE k % 5 = 0) OR (dst, src) IN (SELECT (src, dst) FROM u WHERE k % 5 = 0)
+UNION ALL SELECT DISTINCT 'class:' || name, 'author:' || author, 'authored_by', 1 FROM p JOIN ch USING (path) WHERE author IS NOT NULL""",
+    "php_clusters": _P + "SELECT 'App\\' || seg AS package, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS classes_md5 FROM p GROUP BY seg",
     "php_cyclomatic": _P + "SELECT path, 1 + s % 4 + CASE WHEN s % 3 = 0 THEN 2 ELSE 0 END AS cc FROM p",
     "php_cognitive": _P + "SELECT path, s % 4 + CASE WHEN s % 3 = 0 THEN 3 ELSE 0 END AS cognitive_complexity FROM p",
     "php_output": _P + "SELECT path, s % 4 AS output_count FROM p",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.stage import cut
-from ..operators import coupling, duplication, graph, history, nodes, rules, scores, testmap, text
+from ..operators import coupling, duplication, graph, history, nodes, propertygraph, rules, scores, testmap, text
 from ..operators.rules import Thresholds
 from ..sources import files as source_files
 from ..sources import php
@@ -123,7 +123,11 @@ def analyse(spark: SparkSession, root: str, *, log: DataFrame | None = None, as_
     for part in rest:  # one row each
         one = one.join(F.broadcast(part))
     one = one.withColumns({"lloc_outside": F.greatest(F.lit(0), x("lloc") - x("lloc_inside")), "test_score": F.when(x("test_files") > 0, x("ratio"))})
-    return Analysis(project=scores.health(one), classes=scored, functions=funcs, files=by_file, problems=problems, edges=edges, calls=php.view(recs, "method_call").select(F.col("name").alias("src"), "dst"))
+    calls = php.view(recs, "method_call").select(F.col("name").alias("src"), "dst")
+    changes = log.select("path", "author") if log is not None else None
+    vertices = propertygraph.graph_nodes(scored, funcs, changes)
+    links = propertygraph.graph_edges(scored, funcs, edges, calls, scc, changes)
+    return Analysis(project=scores.health(one), classes=scored, functions=funcs, files=by_file, problems=problems, edges=edges, calls=calls, nodes=vertices, links=links)
 
 
 def _measured(base: DataFrame, n: DataFrame, key: str) -> DataFrame:

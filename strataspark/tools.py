@@ -25,6 +25,7 @@ class Analysis:
     edges: DataFrame
     calls: DataFrame
     nodes: DataFrame | None = None
+    links: DataFrame | None = None
 
     def health_score(self) -> DataFrame:
         return self.project
@@ -69,7 +70,13 @@ class Analysis:
         return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
     def graph(self, *, summary_only: bool = True) -> DataFrame:
-        return self.edges.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind") if summary_only else self.edges
+        """The property graph's edges, or with ``summary_only`` its nodes and edges by kind."""
+        if self.nodes is None or self.links is None:
+            return self.edges.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind") if summary_only else self.edges
+        if not summary_only:
+            return self.links
+        each = [t.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "kind", "n") for part, t in (("node", self.nodes), ("edge", self.links))]
+        return each[0].unionByName(each[1]).orderBy("part", F.desc("n"), "kind")
 
     def search(self, *, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
         every = self.classes.select("name", F.lit("class").alias("kind")).union(self.functions.select("name", F.lit("function").alias("kind"))).union(self.files.select(F.col("path").alias("name"), F.lit("file").alias("kind")))
@@ -82,5 +89,10 @@ class Analysis:
         start = ends.where((F.col("node") == target) | F.col("node").startswith(target + "::"))
         return graph.callers(self.calls, start, depth=depth)
 
+    def impact_summary(self, *, target: str, depth: int = 2) -> DataFrame:
+        """One row: callers at the first step, further ones, all, and the classes that they are in."""
+        hit = self.impact(target=target, depth=depth)
+        return hit.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count("*").alias("affected"), F.countDistinct(F.substring_index("node", "::", 1)).alias("classes"))
+
     def test_coverage(self, *, limit: int = 10, cc: int = 8) -> DataFrame:
         return self.classes.where(~F.col("has_test") & (F.col("cc") >= cc)).orderBy(F.desc("cc"), "name").select("name", "cc").limit(limit)
