@@ -14,12 +14,14 @@ EXCLUDED = ("vendor", "node_modules", ".git")
 
 
 def scan_files(spark: SparkSession, root: str, *, extensions: tuple[str, ...] = ("php",), excludes: tuple[str, ...] = ()) -> DataFrame:
-    """path, bytes of the files below ``root`` with one of the extensions, outside excluded directories."""
+    """path, bytes of the files below ``root`` with one of the extensions, outside excluded directories (paths below the root)."""
     pattern = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     out = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").alias("bytes"))
+    base = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(base), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(F.col("path"))
     for e in (*EXCLUDED, *excludes):
-        out = out.where(~F.contains("path", F.lit("/" + e.strip("/") + "/")))
+        out = out.where(~below.startswith(e.strip("/") + "/"))
     return out
 
 
@@ -62,7 +64,7 @@ def read_clover(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "file").schema(schema).load(path)
     name = F.coalesce("_path", "_name")
     covered, statements = F.col("metrics._coveredstatements"), F.col("metrics._statements")
-    rel = F.when(name.startswith(root.rstrip("/") + "/"), F.substring(name, len(root.rstrip("/")) + 2, 10_000)).otherwise(name) if root else name
+    rel = F.when(name.startswith(root.rstrip("/") + "/"), F.substring(name, F.lit(len(root.rstrip("/")) + 2), F.length(name))).otherwise(name) if root else name
     return rows.select(rel.alias("path"), statements.alias("statements"), covered.alias("covered"), F.coalesce(F.try_divide(covered.cast("double"), statements.cast("double")), F.lit(0.0)).alias("line_rate"))
 
 
