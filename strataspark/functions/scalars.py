@@ -33,6 +33,11 @@ def ratio(part: Column, whole: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(default))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half up as ``round(value * 10^digits) / 10^digits``: by the product, not by the shortest decimal form of the value."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def instability(efferent: Column, afferent: Column) -> Column:
     return ratio(efferent, efferent + afferent)
 

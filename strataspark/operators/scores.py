@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import grade, ratio
+from ..functions.scalars import grade, ratio, rounded
 
 POINTS = {"ERROR": 3.0, "WARNING": 1.0, "INFO": 0.5}
 
@@ -74,7 +74,7 @@ def priority(df: DataFrame) -> DataFrame:
     fresh = F.when((c("age_days") > 0) & (c("age_days") < 90), 0.15).when((c("age_days") > 0) & (c("age_days") < 365), 0.08).otherwise(0.0)
     impact = 1.0 + low(c("used_by") * 0.04, 0.4) + low(c("churn") * 0.015, 0.3) + low(c("authors") * 0.05, 0.15) + fresh
     open_ = (c("errors") + c("warnings") + c("infos") > 0) | c("in_cycle") | (c("layer_violations") > 0) | (c("solid_violations") > 0) | (c("lcom") > 1)
-    a = a.withColumn("priority", F.when(open_, F.least(F.lit(100.0), F.round(severity * impact / 2.0, 1))).otherwise(0.0))
+    a = a.withColumn("priority", F.when(open_, F.least(F.lit(100.0), rounded(severity * impact / 2.0, 1))).otherwise(0.0))
     tangled = c("_structural") >= 40
     notes = [
         ("high complexity", c("_complexity") >= 60, F.format_string("CC=%d: extract methods, or split into strategies.", "cc")),
@@ -95,4 +95,4 @@ def priority(df: DataFrame) -> DataFrame:
 
 
 def priority_totals(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.round(F.coalesce(F.avg("priority"), F.lit(0.0)), 1).alias("avg_priority"), F.coalesce(F.max("priority"), F.lit(0.0)).alias("max_priority"), F.count_if(F.col("priority") > 0).alias("needing"))
+    return scored.agg(rounded(F.coalesce(F.avg("priority"), F.lit(0.0)), 1).alias("avg_priority"), F.coalesce(F.max("priority"), F.lit(0.0)).alias("max_priority"), F.count_if(F.col("priority") > 0).alias("needing"))

@@ -200,6 +200,15 @@ def test_priority(spark, over, low, high):
         assert "untested" in r.drivers and "high complexity" in r.drivers
 
 
+@pytest.mark.parametrize("cc,lcom,used_by,churn,score", [(0, 3, 0, 10, 3.5), (8, 3, 10, 20, 7.7), (11, 3, 1, 19, 8.0)])
+def test_priority_is_rounded_by_its_product(spark, cc, lcom, used_by, churn, score):
+    """3.4499999999999997 and the like: times ten they are 34.5."""
+    row = {k: 0 for k in PRIORITY} | {"cc": cc, "lcom": lcom, "used_by": used_by, "churn": churn}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in PRIORITY)).withColumns({"in_cycle": F.lit(False), "has_test": F.lit(False)})
+    assert one(scores.priority(df)).priority == score
+    assert one(scores.priority_totals(spark.createDataFrame([(3.4499999999999997,)], "priority double"))).avg_priority == 3.5
+
+
 def test_debt(spark):
     e = spark.createDataFrame([("a", 50), ("b", 0), ("c", 10)], "entity string, lloc long")
     p = spark.createDataFrame([("a", "ERROR"), ("a", "INFO"), ("b", "ERROR")], "entity string, level string")
