@@ -8,7 +8,11 @@ of joins, cut after every step in the shared checkpoint folder.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,15 +129,76 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.join(now.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def group_components(edges: DataFrame, group: list[str]) -> DataFrame:
+#: Edges of a group that one task joins in memory, some 50 MB; larger groups go through the joins of ``components``.
+GROUP = 100_000
+
+
+def group_components(edges: DataFrame, group: list[str], *, most: int = GROUP) -> DataFrame:
     """Connected components of the undirected graph (a, b) in each group: their number, nodes and largest size.
 
-    All groups are one graph whose nodes carry their group, so a large group is no
-    larger a task than many small ones.
+    Edges are counted by group first.  Groups of at most ``most`` edges are sorted
+    by group and joined one after the other in a single exchange.  The nodes of all
+    larger groups carry their group and are one graph, so a large group is no larger
+    a task than many small ones.  ``edges`` are read twice.
     """
-    own = edges.select(*[F.struct(*group, F.col(c).alias("n")).alias(c) for c in ("a", "b")])
+    edges = edges.select(*group, "a", "b")
+    large = cut(edges.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*[F.col(c).alias(f"_{c}") for c in group]))
+    if not large.limit(1).count():
+        return _in_order(edges, group)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    own = edges.join(large, same, "left_semi").select(*[F.struct(*group, F.col(c).alias("n")).alias(c) for c in ("a", "b")])
     sizes = components(own).groupBy("comp").agg(F.count("*").alias("k")).select(*[F.col(f"comp.{c}") for c in group], "k")
-    return sizes.groupBy(*group).agg(F.count("*").alias("components"), F.sum("k").alias("nodes"), F.max("k").alias("largest"))
+    sizes = sizes.groupBy(*group).agg(F.count("*").alias("components"), F.sum("k").alias("nodes"), F.max("k").alias("largest"))
+    return _in_order(edges.join(large, same, "left_anti"), group).unionByName(sizes)
+
+
+def _in_order(edges: DataFrame, group: list[str]) -> DataFrame:
+    """``group_components`` of groups that are sorted and joined one at a time; a task holds one group's nodes."""
+    names = [*group, "components", "nodes", "largest"]
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, types, found, up, size = None, [], [], {}, {}
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*found, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            found.clear()
+            return batch
+
+        def root(x):
+            while (y := up[x]) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in group] + [pa.int64()] * 3
+            keys = zip(*[batch.column(c).to_pylist() for c in group], strict=True)
+            for g, a, b in zip(keys, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if g != now:
+                    if up:
+                        found.append((*now, len(size), len(up), max(size.values())))
+                        up, size = {}, {}
+                    now = g
+                if a not in up:
+                    up[a], size[a] = a, 1
+                if b not in up:
+                    up[b], size[b] = b, 1
+                x, y = root(a), root(b)
+                if x != y:
+                    if size[x] < size[y]:
+                        x, y = y, x
+                    up[y] = x
+                    size[x] += size.pop(y)
+            if len(found) >= 5_000:
+                yield out()
+        if up:
+            found.append((*now, len(size), len(up), max(size.values())))
+        if found:
+            yield out()
+
+    sorted_ = edges.repartition(*group).sortWithinPartitions(*group)
+    return sorted_.mapInArrow(solve, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", components long, nodes long, largest long")
 
 
 def tree_depth(parents: DataFrame, *, node: str = "node", parent: str = "parent") -> DataFrame:

@@ -363,8 +363,9 @@ def method_calls_weighted(spark, sf_dir):
 
 
 def lcom_components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
-    return graph.group_components(li, ["l_suppkey", "month"])
+    # orders are even nodes and parts odd ones
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc("l_shipdate", "month").alias("month"), (F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    return graph.group_components(li, ["l_suppkey", "month"]).withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 def type_coverage_weighted(spark, sf_dir):

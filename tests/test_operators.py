@@ -118,6 +118,29 @@ def test_group_components(spark):
     assert {r.class_id: (r.components, r.nodes, r.largest) for r in graph.group_components(e, ["class_id"]).collect()} == {1: (2, 5, 3), 2: (1, 1, 1)}
 
 
+def test_group_components_in_order(spark, monkeypatch):
+    """Groups are solved in one exchange, without loops of joins; those with too many edges go through the joins, with equal results."""
+    rng = random.Random(3)
+    rows = [(g, None if g == 7 else f"m{g % 3}", rng.randrange(40), 100 + rng.randrange(40)) for g in range(30) for _ in range(rng.choice((1, 5, 30, 60)))]
+    rows += [(None, "m", 1, 2), (None, "m", 2, 3), (99, "m", 5, 5)] + [(98, "m", i, i + 1) for i in range(200)]
+    want = {}
+    for key in {r[:2] for r in rows}:
+        up = {}
+        for _, _, a, b in (r for r in rows if r[:2] == key):
+            ends = up.setdefault(a, {a}) | up.setdefault(b, {b})
+            up |= dict.fromkeys(ends, ends)
+        sets = {frozenset(x) for x in up.values()}
+        want[key] = (len(sets), len(up), max(map(len, sets)))
+    e = spark.createDataFrame(rows, "g long, h string, a long, b long").repartition(5)
+
+    def got(**more):
+        return {(r.g, r.h): (r.components, r.nodes, r.largest) for r in graph.group_components(e, ["g", "h"], **more).collect()}
+
+    assert got(most=25) == want
+    monkeypatch.setattr(graph, "components", None)
+    assert got() == want
+
+
 def test_duplication(spark):
     a = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, a, 4), (2, a, 100), (3, "short text", 2), (4, " ".join(f"v{i}" for i in range(60)), 3), (5, "z " * 120, 3)], "doc_id long, text string, loc long")
