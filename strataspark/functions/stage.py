@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` by hash of its key, about ``rows`` rows a task: a small table whose rows take long, which would be read by one task."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, key)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once even if a lambda refers to them.
 

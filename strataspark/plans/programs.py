@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.stage import cut
+from ..functions.stage import cut, dealt
 from ..operators import coupling, graph, nodes, propertygraph, testmap
 from ..sources import php
 
+#: Programs that a task parses: a few seconds of work.
+PROGRAMS = 8_000
 #: Segments of namespaces, by the row's number.
 SEGMENTS = ("Model", "Entity", "Domain", "Repository", "Persistence", "Service", "Application", "Handler", "Controller", "Command", "Console", "Api", "Util", "Shared")
 
@@ -23,8 +25,10 @@ def _namespace(key):
 
 
 def sources(spark, sf_dir: str) -> DataFrame:
-    """file_id, path, content."""
+    """file_id, path, content; keys and sizes are dealt out, since texts are written and parsed in the same task."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("s"))
+    p = dealt(p, "k", PROGRAMS)
+
     def when(m, text):
         return F.when(F.expr(m), F.lit(text)).otherwise("")
 
@@ -42,8 +46,16 @@ def sources(spark, sf_dir: str) -> DataFrame:
     return p.select(F.col("k").alias("file_id"), F.concat(F.lit("src/C"), F.col("k").cast("string"), F.lit(".php")).alias("path"), body.alias("content"))
 
 
-def _nodes(spark, sf_dir):
-    return php.nodes(php.records(sources(spark, sf_dir)))
+def _records(spark, sf_dir, *wanted, columns=()):
+    return php.records(sources(spark, sf_dir), *wanted, columns=columns)
+
+
+def _nodes(spark, sf_dir, *columns):
+    return php.nodes(_records(spark, sf_dir, "node", "call", columns=("path", "class_name", "func_name", "kind", *columns)))
+
+
+def _classes(spark, sf_dir):
+    return php.classes(_records(spark, sf_dir, "class"))
 
 
 def php_cyclomatic(spark, sf_dir):
@@ -51,20 +63,20 @@ def php_cyclomatic(spark, sf_dir):
 
 
 def php_cognitive(spark, sf_dir):
-    return nodes.cognitive(_nodes(spark, sf_dir), "path")
+    return nodes.cognitive(_nodes(spark, sf_dir, "nest_depth"), "path")
 
 
 def php_output(spark, sf_dir):
-    return nodes.output_count(_nodes(spark, sf_dir), "path")
+    return nodes.output_count(_nodes(spark, sf_dir, "value"), "path")
 
 
 def php_runtime(spark, sf_dir):
-    n = nodes.runtime_depth(_nodes(spark, sf_dir).where("func_id is not null"), "func_id")
+    n = nodes.runtime_depth(_nodes(spark, sf_dir, "loop_depth").where("func_id is not null"), "func_id")
     return n.groupBy("runtime").agg(F.count("*").alias("functions"), F.max("loop_depth").alias("deepest"))
 
 
 def php_smells(spark, sf_dir):
-    return nodes.security_smells(_nodes(spark, sf_dir), "path").select("path", "smell_count", "level")
+    return nodes.security_smells(_nodes(spark, sf_dir, "value", "start_line"), "path").select("path", "smell_count", "level")
 
 
 def php_members(spark, sf_dir):
@@ -77,7 +89,7 @@ def php_dead(spark, sf_dir):
 
 
 def php_edges(spark, sf_dir):
-    return php.edges(php.records(sources(spark, sf_dir))).select("src", "dst", "kind")
+    return php.edges(_records(spark, sf_dir, "edge", columns=("class_name", "dst", "kind"))).select("src", "dst", "kind")
 
 
 def php_type_coverage(spark, sf_dir):

@@ -164,3 +164,43 @@ def test_analysis_of_a_tree(spark, tmp_path):
     assert ("App\\Model\\User", "dependency_cycle") in found and ("App\\Service\\Runner", "dead_code") in found
     assert a.refactoring_priorities().count() >= 2 and a.impact(target="App\\Model\\User", depth=1).first().node == "App\\Model\\Order::owner"
     assert framework_thresholds('{"require": {"laravel/framework": "1"}}').god_uses == 25
+
+
+def test_wanted_records(spark, recs):
+    """Kinds and columns that are asked for are the same rows as in all records; files with errors stay."""
+    rows = [(1, "a.php", CODE), (2, "bad.php", "<?php function f( {")]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string")
+    for kinds in (("class",), ("function", "access"), ("node", "call"), ("edge", "member", "method_call")):
+        columns = ("class_name", "kind", "name", "value", "nest_depth")
+        some = php.records(df, *kinds, columns=columns)
+        assert some.columns == ["rec", "kind", "value", "name", "class_name", "nest_depth"]
+        every = recs.where(F.col("path").isin("a.php", "bad.php") & F.col("rec").isin(*kinds, "error")).select(*some.columns)
+        assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and some.where("rec = 'error'").count() == 1
+
+
+def test_programs_are_dealt_out(spark, tmp_path):
+    """A table of programs in one small file is parsed by all cores, in batches of records of many files."""
+    from strataspark.plans import programs
+
+    spark.range(1, 41).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    s = programs.sources(spark, str(tmp_path))
+    assert s.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and s.count() == 40
+    batches = php.records(s.coalesce(1), "class").mapInArrow(lambda it: (b.slice(0, 1) for b in it), php.SCHEMA)
+    assert batches.count() == 1
+
+
+def test_cohesion_parses_once(spark, tmp_path):
+    """Methods and what they touch are read several times, files are parsed once."""
+    log = str(tmp_path / "log")
+
+    def noted(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.writelines(f"{x}\n" for x in b.column("file_id").to_pylist())
+            yield b
+
+    df = spark.createDataFrame([(1, "a.php", CODE), (2, "b.php", "<?php class B { public $p; function f() { return $this->p; } function g() {} }")], "file_id long, path string, content string")
+    got = by(php.lcom(php.records(df.mapInArrow(noted, "file_id long, path string, content string"))), "class_name", "lcom")
+    assert got["B"] == 2 and got["App\\Service\\Runner"] == by(php.lcom(php.records(df)), "class_name", "lcom")["App\\Service\\Runner"]
+    with open(log) as f:
+        assert sorted(f.read().split()) == ["1", "2"]
