@@ -85,7 +85,7 @@ def php_members(spark, sf_dir):
 
 
 def php_dead(spark, sf_dir):
-    return php.dead_private(php.records(sources(spark, sf_dir))).select("class_id", "name")
+    return php.dead_private(_records(spark, sf_dir, "function", "access", columns=("class_name", "kind", "name", "is_public"))).select("class_id", "name")
 
 
 def php_edges(spark, sf_dir):
