@@ -97,7 +97,7 @@ def php_type_coverage(spark, sf_dir):
 
 
 def php_cohesion(spark, sf_dir):
-    return php.lcom(php.records(sources(spark, sf_dir))).select("class_name", "lcom")
+    return php.lcom(_records(spark, sf_dir, "function", "access", columns=("class_name", "func_name", "kind", "name"))).select("class_name", "lcom")
 
 
 def php_layers(spark, sf_dir):
