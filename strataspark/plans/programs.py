@@ -80,7 +80,7 @@ def php_smells(spark, sf_dir):
 
 
 def php_members(spark, sf_dir):
-    f = php.functions(php.records(sources(spark, sf_dir))).withColumn("class_id", F.col("class_name"))
+    f = php.functions(_records(spark, sf_dir, "function")).withColumn("class_id", F.col("class_name"))
     return nodes.class_members(f)
 
 
