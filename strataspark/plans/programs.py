@@ -93,7 +93,7 @@ def php_edges(spark, sf_dir):
 
 
 def php_type_coverage(spark, sf_dir):
-    return nodes.type_coverage(php.type_slots(php.records(sources(spark, sf_dir))), "class_name")
+    return nodes.type_coverage(php.type_slots(_records(spark, sf_dir, "function", "member")), "class_name")
 
 
 def php_cohesion(spark, sf_dir):
