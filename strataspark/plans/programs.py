@@ -121,7 +121,7 @@ def php_test_mapping(spark, sf_dir):
 
 
 def _graph_tables(spark, sf_dir):
-    recs = cut(php.records(sources(spark, sf_dir)))
+    recs = cut(_records(spark, sf_dir, "class", "function", "edge"))
     changes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("src/C"), (F.col("event_id") % 100).cast("string"), F.lit(".php")).alias("path"), F.col("user_id").cast("string").alias("author"))
     return recs, php.classes(recs), php.functions(recs), changes
 
