@@ -204,3 +204,22 @@ def test_cohesion_parses_once(spark, tmp_path):
     assert got["B"] == 2 and got["App\\Service\\Runner"] == by(php.lcom(php.records(df)), "class_name", "lcom")["App\\Service\\Runner"]
     with open(log) as f:
         assert sorted(f.read().split()) == ["1", "2"]
+
+
+@pytest.mark.parametrize("query", ["php_test_mapping", "php_layer_violations"])
+def test_programs_are_parsed_once(spark, tmp_path, monkeypatch, query):
+    from strataspark.plans import programs
+
+    log, made = str(tmp_path / "log"), programs.sources
+
+    def noted(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("".join(f"{x}\n" for x in b.column("file_id").to_pylist()))
+            yield b
+
+    monkeypatch.setattr(programs, "sources", lambda *a: made(*a).mapInArrow(noted, "file_id long, path string, content string"))
+    spark.range(1, 31).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert programs.QUERIES[query](spark, str(tmp_path)).count() > 0
+    with open(log) as f:
+        assert sorted(map(int, f.read().split())) == list(range(1, 31))
