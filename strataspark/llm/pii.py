@@ -229,19 +229,18 @@ def shown(kind: Column, mention: Column, canon: Column) -> Column:
     return F.when(kind.startswith("name"), F.concat(title, cased)).when(kind.isin("email", "ip"), canon).otherwise(spread)
 
 
-def _mentions(docs: DataFrame, text_col: str) -> DataFrame:
-    """The entities of every row that has any, as (kind, value)."""
-    own = settle(with_mentions(docs.select(F.col(text_col)), text_col).select("_pii_e"), _pii_x=F.col("_pii_e")).select(F.explode("_pii_x").alias("e"))
-    return own.select(F.explode(entities(F.col("e"))).alias("x")).select("x.kind", "x.value")
+def _mentions(own: DataFrame) -> DataFrame:
+    """The entities of every row of ``with_mentions`` that has any, as (kind, value)."""
+    return own.select(F.explode("_pii_e").alias("e")).select(F.explode(entities(F.col("e"))).alias("x")).select("x.kind", "x.value")
 
 
-def redrawn(docs: DataFrame, key: str, *, text_col: str = "text", scratch: Scratch) -> DataFrame:
+def redrawn(own: DataFrame, key: str, *, scratch: Scratch) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides; attempts at which all surrogates differ.
 
     An entity yields if its surrogate is a real value of the corpus, or that of
     an entity with an earlier attempt or, among equals, a smaller value.
     """
-    seen = scratch.save(_mentions(docs, text_col).distinct())
+    seen = scratch.save(_mentions(own).distinct())
     now = scratch.save(seen.select("kind", "value", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("value"), F.lit(0), key).alias("new")))
     while True:
         # one surrogate may not stand for two entities, whatever their types of name are
@@ -263,11 +262,13 @@ def replace(docs: DataFrame, *, key: str, text_col: str = "text", counts: bool =
     Every row comes back with all its columns; null texts stay null, texts
     without entities stay as they are.  Rows are treated alike however often they
     repeat, and ids play no part.  Names beginning with ``_pii_`` are reserved.
+    The rows are written to the shared folder with their mentions.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    late = scratch.save(redrawn(docs, key, text_col=text_col, scratch=scratch))
+    # the patterns go over a text once: what they find is written beside it, for the surrogates and for the replacement
+    own = scratch.save(with_mentions(docs, text_col))
+    late = scratch.save(redrawn(own, key, scratch=scratch))
     # texts are the gaps and mentions of one pattern; without a mention nothing else is computed
-    own = with_mentions(docs, text_col)
     if late.limit(1).count():
         needed = own.where(F.size("_pii_e") > 0).select(F.xxhash64(text_col).alias("_pii_h"), F.explode("_pii_e").alias("e"))
         needed = needed.select("_pii_h", F.explode(entities(F.col("e"))).alias("x")).select("_pii_h", "x.kind", "x.value").distinct()

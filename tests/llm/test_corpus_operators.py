@@ -379,6 +379,19 @@ def test_pii(spark, nothing):
     assert pii.replace(nothing, key="k").count() == 0
 
 
+def test_pii_patterns_go_over_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    read = F.udf(count).asNondeterministic()
+    df = spark.createDataFrame([(i, PII[i % 5][1]) for i in range(40)], "doc_id long, text string").repartition(2).select("doc_id", read("text").alias("text"))
+    got = {r.doc_id: r.text for r in pii.replace(df, key="k").collect()}
+    assert seen.value == 40 and len(got) == 40 and got[0] == got[5] != PII[0][1] and got[2] is None
+
+
 def test_pii_persons_keep_one_name_under_all_titles(spark):
     text = "Dr. Maria Lopez, Mrs. Maria Lopez and Mrs. Lopez met Mr. Juan Perez. Maria Lopez and Perez left; LOPEZ Lopezia stayed."
     other = "Prof. Perez and Dr Lopez"
