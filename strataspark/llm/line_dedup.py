@@ -12,11 +12,11 @@ blank lines stay.
     COUNTERS counters that words share by hash (a total order is all that the
     filters need; sharing only makes it a little coarser), then by hash.
 3.  Of each class only a prefix of its rarest words is written out, and a
-    left-semi join on the word keeps the rows for which an earlier class passes the
-    length filter, the positional filter and a bound on the difference from 64-bit
-    parity signatures; none loses a match.  The join stops at the first such class:
-    its rows are never more than its input's, whatever the size of a group.  What
-    is left goes through a second such join with longer signatures of long lines.
+    left-semi join on the word keeps the rows for which another class passes the
+    length filter, the positional filter and a bound on the difference from parity
+    signatures (64 bits, 256 for long lines); none loses a match.  The join stops at
+    the first such class: its rows are never more than its input's, whatever the
+    size of a group.
 4.  One earlier match decides a class, so the classes left over are first compared
     with the earliest class of their words' lists, and then with a few others
     (pivots: the first of each of some salts).  Classes that match one are done; the
@@ -42,9 +42,12 @@ ONCE = 4
 ROUNDS = (4, 8, 16, 32)
 OPEN = 16
 #: Shares of the words that are joined one after the other.
-PASSES = 3
-#: Words of 64 parity bits in the signature of a line of more than 64 words; a power of two.
-WIDE = 8
+PASSES = 2
+#: Lines of more words have the signature in parts, which do not saturate as early; the number of parts is a power of two.
+LONG = 64
+PARTS = 4
+#: A class: its first position and half of its hash.
+KEY = ("id", "ln", "k1")
 LAST = 2**63 - 1
 
 
@@ -53,19 +56,15 @@ def _bit(x) -> Column:
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th (hash of the whole text), ln and s (sorted hashes of the line's distinct words; empty for a blank line), for each line."""
+    """id, th (hash of the whole text), ln, s (sorted hashes of the line's distinct words) and k1, k2 (128 bits of s), for each line with a word."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     plain = F.lower("t")
     for x in "\t\x0b\x0c\r":  # splitting at one plain character needs no pattern
         plain = F.replace(plain, F.lit(x), F.lit(" "))
     own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode_outer(F.split(plain, "\n")).alias("ln", "line"))
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return own.select("id", "th", "ln", F.sort_array(hashes).alias("s"))
-
-
-def _hashed(lines: DataFrame) -> DataFrame:
-    """The lines with a word, and k1, k2: 128 bits of their word sets."""
-    return lines.where(F.size("s") > 0).withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("s", F.lit(1))})
+    own = settle(own.select("id", "th", "ln", "line"), s=F.sort_array(hashes)).where(F.size("s") > 0)
+    return own.select("id", "th", "ln", "s", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(1)).alias("k2"))
 
 
 def _dense(spark, counted: DataFrame, size: int, kind: str) -> Column:
@@ -93,8 +92,9 @@ def rarity_table(lines: DataFrame, scratch: Scratch) -> str:
 
 
 def line_classes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
-    """k1, k2, id, ln (first position), copies, n (words), bits (their parity on 64 bits) and pre (the probe prefix), a row for each class.
+    """k1, k2, id, ln (first position), copies, n (words), bits (their parity on 64 bits), b1 to b3 and pre (the probe prefix), a row for each class.
 
+    b1 to b3 are the parities of a long line's words of one residue each; with the residue 0, which is left out, they add up to bits.
     A word of the prefix is a number: the rarity level of its counter above 48 bits of its hash.
     """
     levels = F.split(F.lit(rarity), ",").cast("array<tinyint>")
@@ -103,97 +103,92 @@ def line_classes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
         level = F.coalesce(F.get(levels, x.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))
         return F.shiftleft(level, 48).bitwiseOR(F.shiftrightunsigned(x, 16))
 
-    bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+    def parity(s):
+        return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+
+    def part(j):
+        own = F.filter("s", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARTS - 1)) == j)
+        return F.when(F.size("s") > LONG, parity(own)).otherwise(F.lit(0).cast("long"))
+
+    parts = [part(j).alias(f"b{j}") for j in range(1, PARTS)]
     keep = F.size("s") + 1 - F.ceil(F.lit(threshold) * F.size("s") / F.lit(100.0) - 1e-9).cast("int")
-    own = _hashed(lines).select("k1", "k2", F.struct("id", "ln").alias("p"), F.struct(F.size("s").alias("n"), bits.alias("bits"), F.slice(F.sort_array(F.transform("s", pack)), F.lit(1), keep).alias("pre")).alias("v"))
+    own = lines.select("k1", "k2", F.struct("id", "ln").alias("p"), F.struct(F.size("s").alias("n"), parity("s").alias("bits"), *parts, F.slice(F.sort_array(F.transform("s", pack)), F.lit(1), keep).alias("pre")).alias("v"))
     made = own.groupBy("k1", "k2").agg(F.min("p").alias("p"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    return made.select("k1", "k2", "p.id", "p.ln", "copies", "v.n", "v.bits", "v.pre")
+    return made.select("k1", "k2", "p.id", "p.ln", "copies", "v.*")
 
 
-def prefixes(classes: DataFrame, *more: str) -> DataFrame:
-    """w, id, ln, bits, place (words of the line above the word's position in it): a row for each prefix word that another line may have."""
-    rows = classes.select("id", "ln", "bits", "n", *more, F.posexplode("pre").alias("i", "w")).where(F.shiftright("w", 48) > ONCE)
-    return rows.select("w", "id", "ln", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"), *more)
+def prefixes(classes: DataFrame) -> DataFrame:
+    """w, KEY, bits, b1 to b3, place (words of the line above the word's position in it): a row for each prefix word that another line may have."""
+    signature = ["bits", *[f"b{j}" for j in range(1, PARTS)]]
+    rows = classes.select(*KEY, *signature, "n", F.posexplode("pre").alias("i", "w")).where(F.shiftright("w", 48) > ONCE)
+    return rows.select("w", *KEY, *signature, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
 
 
 def _may_match(t: int) -> Column:
-    """For a row x and a row y of the same word: y is earlier, and no filter rules the pair out."""
+    """For a row x and a row y of the same word: they are of two classes, and no filter rules the pair out."""
     nx, ny = F.shiftright("x.place", 32), F.shiftright("y.place", 32)
     ix, iy = F.col("x.place").bitwiseAND(F.lit(2**32 - 1)), F.col("y.place").bitwiseAND(F.lit(2**32 - 1))
-    earlier = (F.col("y.id") < F.col("x.id")) | ((F.col("y.id") == F.col("x.id")) & (F.col("y.ln") < F.col("x.ln")))
     length = 100 * F.least(nx, ny) >= t * F.greatest(nx, ny)
     position = ((100 + t) * (nx - ix) >= t * (nx + ny)) & ((100 + t) * (ny - iy) >= t * (nx + ny))
-    # every bit that differs is a word that differs
-    differ = (100 + t) * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= (100 - t) * (nx + ny)
-    return length & position & differ & earlier
-
 
-def _wide(s: str) -> Column:
-    """WIDE times 64 parity bits of a long line's words, which do not saturate; null for others."""
-    def part(j):
-        own = F.filter(s, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == j)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_bit(x)))
+    def differ(*names):
+        """Every bit that differs is a word that differs."""
+        x, y = (functools.reduce(Column.bitwiseXOR, [F.col(f"{side}.{n}") for n in names]) for side in "xy")
+        return F.bit_count(x.bitwiseXOR(y))
 
-    return F.when(F.size(s) > 64, F.array(*[part(j) for j in range(WIDE)]))
+    few = (100 + t) * differ("bits") <= (100 - t) * (nx + ny)
+    first = ["bits", *[f"b{j}" for j in range(1, PARTS)]]
+    parts = sum((differ(f"b{j}") for j in range(1, PARTS)), differ(*first))
+    wide = (F.least(nx, ny) <= LONG) | ((100 + t) * parts <= (100 - t) * (nx + ny))
+    other = functools.reduce(Column.__or__, [F.col(f"x.{c}") != F.col(f"y.{c}") for c in KEY])
+    return few & length & position & wide & other
 
 
-def _may_match_wide(t: int) -> Column:
-    apart = sum((F.bit_count(F.col("x.wide")[j].bitwiseXOR(F.col("y.wide")[j])) for j in range(WIDE)), F.lit(0))
-    n = F.shiftright("x.place", 32) + F.shiftright("y.place", 32)
-    return _may_match(t) & F.coalesce((100 + t) * apart <= (100 - t) * n, F.lit(True))
+def _earlier() -> Column:
+    return (F.col("y.id") < F.col("x.id")) | ((F.col("y.id") == F.col("x.id")) & (F.col("y.ln") < F.col("x.ln")))
 
 
-def _on_word(x: DataFrame, y: DataFrame, met: Column, how: str, names: tuple[str, str] = ("x", "y")) -> DataFrame:
-    return x.alias(names[0]).join(y.alias(names[1]), (F.col("x.w") == F.col("y.w")) & met, how)
+def _on_word(x: DataFrame, y: DataFrame, met: Column, how: str) -> DataFrame:
+    return x.alias("x").join(y.alias("y"), (F.col("x.w") == F.col("y.w")) & met, how)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int, scratch: Scratch) -> DataFrame:
-    """k1, k2 of the classes of ``pairs`` (k1, k2, b1, b2) that have a true match among them."""
-    pairs = scratch.save(pairs)
-    left = sets.where(_in_bitmap(pairs, "k1", scratch)).select("k1", "k2", F.col("s").alias("x"))
-    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("s").alias("y")).where(_in_bitmap(pairs, "b1", scratch))
-    both = pairs.join(left, ["k1", "k2"]).join(right, ["b1", "b2"])
-    return scratch.save(both.where((100 + t) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))).select("k1", "k2").distinct())
+    """KEY of the classes of ``pairs`` (KEY, and another class as a struct o) that have a true match among them."""
+    theirs = [f"o_{c}" for c in KEY]
+    pairs = scratch.save(pairs.select(*KEY, *[F.col(f"o.{c}").alias(f"o_{c}") for c in KEY]))
+    left = sets.where(_in_bitmap(pairs, "k1", scratch)).select(*KEY, F.col("s").alias("x"))
+    right = sets.select(*[F.col(c).alias(f"o_{c}") for c in KEY], F.col("s").alias("y")).where(_in_bitmap(pairs, "o_k1", scratch))
+    both = pairs.join(left, [*KEY]).join(right, theirs)
+    return scratch.save(both.where((100 + t) * F.size(F.array_intersect("x", "y")) >= t * (F.size("x") + F.size("y"))).select(*KEY).distinct())
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select("x.k1", "x.k2", F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct()
+    return joined.select(*[f"x.{c}" for c in KEY], F.struct(*[f"y.{c}" for c in KEY]).alias("o")).distinct()
 
 
 def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> DataFrame | None:
-    """k1, k2 of the classes that match an earlier one; None if none has a candidate."""
-    itself = (F.col("x.id") == F.col("y.id")) & (F.col("x.ln") == F.col("y.ln"))
+    """KEY of the classes that match an earlier one; None if none has a candidate."""
     parts = []
     for part in range(PASSES):  # a share of the words at a time, so that less lies in shuffles at once
-        own = F.pmod("w", F.lit(PASSES)) == part
-        rows = prefixes(classes).where(own)
-        open_ = scratch.save(_on_word(rows, rows, _may_match(t), "left_semi"))
-        scratch.release()
-        # with their keys: the open rows, and all that an open row might match
-        listed = prefixes(classes, "k1", "k2").where(own).where(_in_bitmap(open_, "w", scratch))
-        parts.append((open_, scratch.save(_on_word(listed, open_, itself | _may_match(t), "left_semi", ("y", "x")))))
+        rows = prefixes(classes).where(F.pmod("w", F.lit(PASSES)) == part)
+        parts.append(scratch.save(_on_word(rows, rows, _may_match(t), "left_semi")))
         scratch.release()
-    some, members = (functools.reduce(DataFrame.unionByName, x) for x in zip(*parts))
-    if not some.limit(1).count():
+    members = functools.reduce(DataFrame.unionByName, parts)
+    if not members.limit(1).count():
         return None
-    ends = scratch.save(members.select("k1", "k2").distinct())
-    near = _hashed(lines).where(_in_bitmap(ends, "k1", scratch)).select("k1", "k2", "s").join(ends, ["k1", "k2"], "left_semi")
-    sets = scratch.save(near.groupBy("k1", "k2").agg(F.first("s").alias("s")).withColumn("wide", _wide("s")))
+    ends = scratch.save(members.select(*KEY).distinct())
+    near = lines.where(_in_bitmap(ends, "k1", scratch)).select(*KEY, "s").join(ends, [*KEY], "left_semi")
+    sets = scratch.save(near.groupBy(*KEY).agg(F.first("s").alias("s")), dictionary=False)
     scratch.release()
-    # the same once more with signatures that do not saturate on long lines
-    members = scratch.save(members.join(sets.select("k1", "k2", "wide"), ["k1", "k2"]))
-    scratch.drop(*[m for _, m in parts])
-    may = _may_match_wide(t)
-    still = scratch.save(_on_word(members.join(some, ["w", "id", "ln", "place"], "left_semi"), members, may, "left_semi"))
-    members = scratch.save(_on_word(members, still, itself | may, "left_semi", ("y", "x")))
+    may = _may_match(t) & _earlier()
     size = members.count()
     sizes = scratch.save(members.groupBy("w").agg(F.count("*").alias("m")))
-    chosen = F.min(F.struct("id", "ln", "bits", "place", "k1", "k2", "wide")).alias("p")
+    chosen = F.min(F.struct(*KEY, *[c for c in members.columns if c not in (*KEY, "w")])).alias("p")
     # most classes match the first class of one of their lists, and need no other
     first = members.groupBy("w").agg(chosen).select("w", "p.*")
-    best = _on_word(still, first, may, "inner").groupBy("x.k1", "x.k2").agg(F.min(F.struct("y.id", "y.ln", "y.k1", "y.k2")).alias("p"))
-    done = _verified(best.select("k1", "k2", F.col("p.k1").alias("b1"), F.col("p.k2").alias("b2")), sets, t, scratch)
-    still = scratch.save(still.join(done, ["k1", "k2"], "left_anti"))
+    best = _on_word(members, first, may, "inner").groupBy(*[f"x.{c}" for c in KEY]).agg(F.min(F.struct(*[f"y.{c}" for c in KEY])).alias("o"))
+    done = _verified(best, sets, t, scratch)
+    still = scratch.save(_on_word(members.join(done, [*KEY], "left_anti"), members, may, "left_semi"))
     for turn, salts in enumerate(ROUNDS):
         work = still.groupBy("w").agg(F.count("*").alias("c")).join(sizes, "w").agg(F.sum(F.col("c") * F.col("m"))).first()[0] or 0
         if work <= OPEN * size:
@@ -202,10 +197,10 @@ def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> D
         pivots = members.groupBy("w", salt).agg(chosen).select("w", "p.*")
         found = _verified(_pairs(_on_word(still, pivots, may, "inner")), sets, t, scratch)
         done = done.unionByName(found)
-        still = scratch.save(still.join(found, ["k1", "k2"], "left_anti"))
+        still = scratch.save(still.join(found, [*KEY], "left_anti"))
     done = done.unionByName(_verified(_pairs(_on_word(still, members, may, "inner")), sets, t, scratch))
     done = scratch.save(done)
-    scratch.drop(*[o for o, _ in parts], still, members, sets, ends, sizes)
+    scratch.drop(*parts, still, sets, ends, sizes)
     scratch.release()
     return done
 
@@ -223,9 +218,9 @@ def lines_to_remove(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     if found is None:
         cuts = cuts.withColumn("all", F.lit(False))
     else:
-        cuts = cuts.join(found.withColumn("all", F.lit(True)), ["k1", "k2"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
+        cuts = cuts.join(found.select(F.struct("id", "ln").alias("cut"), "k1").distinct().withColumn("all", F.lit(True)), ["cut", "k1"], "left").withColumn("all", F.coalesce("all", F.lit(False)))
     cuts = scratch.save(cuts.where("all or copies > 1").drop("copies"))
-    own = _hashed(lines).where(_in_bitmap(cuts, "k1", scratch)).select("id", "th", "ln", "k1", "k2")
+    own = lines.where(_in_bitmap(cuts, "k1", scratch)).select("id", "th", "ln", "k1", "k2")
     gone = own.join(cuts, ["k1", "k2"]).where(F.col("all") | (F.struct("id", "ln") > F.col("cut")))
     gone = scratch.save(gone.select("id", "th", "ln"))
     scratch.drop(lines, classes)
