@@ -343,6 +343,25 @@ def test_short_lines_go_in_query_and_pipeline(spark, tmp_path):
         assert got[i].text_sha256 == hashlib.sha256((kept or "").encode()).hexdigest()
 
 
+def test_long_lines_by_signatures_in_parts(spark):
+    """Lines of up to 600 words, near the threshold on both sides; blank lines have no row, others the hashes of their sets."""
+    rng = random.Random(13)
+    rows = []
+    for n in (60, 64, 65, 70, 130, 300, 600):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.3):
+            w = list(base)
+            for k in rng.sample(range(n), int(share * n)):
+                w[k] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + "\n \n", None, None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = lines_by_hand([(r[0], r[1]) for r in rows])
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate(df, counts=True).collect()}
+    assert got == {r[0]: len(want.get((r[0], r[1]), ())) for r in rows} and 5 < sum(got.values()) < len(rows)
+    lines = line_dedup.split_lines(df, "doc_id", "text")
+    assert lines.columns == ["id", "th", "ln", "s", "k1", "k2"] and lines.count() == len(rows)
+
+
 # ---- 6 -----------------------------------------------------------------------
 
 PII = [
