@@ -16,7 +16,8 @@ blank lines stay.
     length filter, the positional filter and a bound on the difference from parity
     signatures (64 bits, 256 for long lines); none loses a match.  The join stops at
     the first such class: its rows are never more than its input's, whatever the
-    size of a group.
+    size of a group.  The shorter line of a pair is met by a shorter prefix, and
+    frequent words only within a class of lengths.
 4.  One earlier match decides a class, so the classes left over are first compared
     with the earliest class of their words' lists, and then with a few others
     (pivots: the first of each of some salts).  Classes that match one are done; the
@@ -27,6 +28,7 @@ blank lines stay.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,9 @@ ONCE = 4
 #: Salts of each further round of pivots; one is made while open rows could meet more than OPEN times the rows of their lists.
 ROUNDS = (4, 8, 16, 32)
 OPEN = 16
+#: Words of this level and above (their counter has seen 2,047 words) are keys together with a class of lengths, kept above BUCKET bits.
+OFTEN = 44
+BUCKET = 55
 #: Shares of the words that are joined one after the other.
 PASSES = 2
 #: Lines of more words have the signature in parts, which do not saturate as early; the number of parts is a power of two.
@@ -48,6 +53,8 @@ LONG = 64
 PARTS = 4
 #: A class: its first position and half of its hash.
 KEY = ("id", "ln", "k1")
+#: What the rows of the join on words carry, beside the word and the place: half of the class's hash and its signatures.
+SIGNATURE = ("k1", "bits", *[f"b{j}" for j in range(1, PARTS)])
 LAST = 2**63 - 1
 
 
@@ -58,9 +65,10 @@ def _bit(x) -> Column:
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, th (hash of the whole text), ln, s (sorted hashes of the line's distinct words) and k1, k2 (128 bits of s), for each line with a word."""
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    plain = F.lower("t")
+    plain, odd = F.lower("t"), F.lit(False)
     for x in "\t\x0b\x0c\r":  # splitting at one plain character needs no pattern
-        plain = F.replace(plain, F.lit(x), F.lit(" "))
+        plain, odd = F.replace(plain, F.lit(x), F.lit(" ")), odd | F.contains("t", F.lit(x))
+    plain = F.when(odd, plain).otherwise(F.lower("t"))  # a search for one character costs a third of a replacement
     own = own.select("id", F.xxhash64("t").alias("th"), F.posexplode_outer(F.split(plain, "\n")).alias("ln", "line"))
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     own = settle(own.select("id", "th", "ln", "line"), s=F.sort_array(hashes)).where(F.size("s") > 0)
@@ -117,15 +125,31 @@ def line_classes(lines: DataFrame, rarity: str, threshold: int) -> DataFrame:
     return made.select("k1", "k2", "p.id", "p.ln", "copies", "v.*")
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    """w, KEY, bits, b1 to b3, place (words of the line above the word's position in it): a row for each prefix word that another line may have."""
-    signature = ["bits", *[f"b{j}" for j in range(1, PARTS)]]
-    rows = classes.select(*KEY, *signature, "n", F.posexplode("pre").alias("i", "w")).where(F.shiftright("w", 48) > ONCE)
-    return rows.select("w", *KEY, *signature, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
+def _bucket(n, t: int) -> Column:
+    """The class of a length; one that is allowed for a line is in its own class or the next."""
+    return F.floor(F.ln(n) / F.lit(math.log(max(100 / t, 1.25)))).cast("long")
+
+
+def prefixes(classes: DataFrame, t: int, share: int, index: bool) -> DataFrame:
+    """w, ROW: a row for each prefix word of this share that another line may have.
+
+    A shorter line of a pair meets the longer one already in the words that the filter needs for two lines of its own length
+    (``index``).  A frequent word is a key together with a class of lengths of the longer line.
+    """
+    pre = F.slice("pre", F.lit(1), F.floor(F.col("n") * (100 - t) / (100 + t) + 1e-9).cast("int") + 1) if index else F.col("pre")
+    rows = classes.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SIGNATURE], "n", F.posexplode(pre).alias("i", "w")).where((F.shiftright("w", 48) > ONCE) & (F.pmod("w", F.lit(PASSES)) == share))
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place")
+    often = F.shiftright("w", 48) >= OFTEN
+    if not index:
+        w = F.col("w").bitwiseOR(F.when(often, F.shiftleft(_bucket("n", t) + 1, BUCKET)).otherwise(F.lit(0).cast("long")))
+        return rows.select(F.coalesce(w, F.lit(0).cast("long")).alias("w"), *SIGNATURE, place)
+    classed = F.sequence(_bucket("n", t) + 1, _bucket(F.floor(100 * F.col("n") / t), t) + 1)
+    rows = rows.select("w", *SIGNATURE, place, F.explode(F.when(often, classed).otherwise(F.array(F.lit(0).cast("long")))).alias("b"))
+    return rows.select(F.coalesce(F.col("w").bitwiseOR(F.shiftleft("b", BUCKET)), F.lit(0).cast("long")).alias("w"), *SIGNATURE, "place")
 
 
 def _may_match(t: int) -> Column:
-    """For a row x and a row y of the same word: they are of two classes, and no filter rules the pair out."""
+    """For a row x and a row y of the same word: no filter rules the pair out."""
     nx, ny = F.shiftright("x.place", 32), F.shiftright("y.place", 32)
     ix, iy = F.col("x.place").bitwiseAND(F.lit(2**32 - 1)), F.col("y.place").bitwiseAND(F.lit(2**32 - 1))
     length = 100 * F.least(nx, ny) >= t * F.greatest(nx, ny)
@@ -137,11 +161,36 @@ def _may_match(t: int) -> Column:
         return F.bit_count(x.bitwiseXOR(y))
 
     few = (100 + t) * differ("bits") <= (100 - t) * (nx + ny)
-    first = ["bits", *[f"b{j}" for j in range(1, PARTS)]]
-    parts = sum((differ(f"b{j}") for j in range(1, PARTS)), differ(*first))
+    parts = sum((differ(f"b{j}") for j in range(1, PARTS)), differ(*SIGNATURE[1:]))
     wide = (F.least(nx, ny) <= LONG) | ((100 + t) * parts <= (100 - t) * (nx + ny))
-    other = functools.reduce(Column.__or__, [F.col(f"x.{c}") != F.col(f"y.{c}") for c in KEY])
-    return few & length & position & wide & other
+    return few & length & position & wide
+
+
+def _longer(x: str, y: str) -> Column:
+    """x is of another class than y, and not shorter.  Two classes of equal k1 and equal bits would be taken for one: 128 bits."""
+    return (F.shiftright(f"{x}.place", 32) >= F.shiftright(f"{y}.place", 32)) & ((F.col(f"{x}.k1") != F.col(f"{y}.k1")) | (F.col(f"{x}.bits") != F.col(f"{y}.bits")))
+
+
+def _candidates(classes: DataFrame, t: int, scratch: Scratch) -> DataFrame | None:
+    """w, SIGNATURE, place, id, ln: the prefix rows for which another class passes all filters; None if there is none."""
+    parts = []
+    for share in range(PASSES):  # a share of the words at a time, so that less lies in shuffles at once
+        index = prefixes(classes, t, share, True)
+        longer = scratch.save(_on_word(prefixes(classes, t, share, False), index, _may_match(t) & _longer("x", "y"), "left_semi"))
+        scratch.release()
+        index = index.where(_in_bitmap(longer, "w", scratch))
+        parts += [longer, scratch.save(_on_word(index, longer, _may_match(t) & _longer("y", "x"), "left_semi"))]
+        scratch.release()
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    if not rows.limit(1).count():
+        return None
+    places = classes.where(_in_bitmap(rows, "k1", scratch)).select(*KEY)
+    # one exchange on k1 serves both steps
+    found = rows.withColumn("w", F.col("w").bitwiseAND(F.lit((1 << BUCKET) - 1))).repartition("k1").distinct().join(places, "k1")
+    found = scratch.save(found)
+    scratch.drop(*parts)
+    scratch.release()
+    return found
 
 
 def _earlier() -> Column:
@@ -168,13 +217,8 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> DataFrame | None:
     """KEY of the classes that match an earlier one; None if none has a candidate."""
-    parts = []
-    for part in range(PASSES):  # a share of the words at a time, so that less lies in shuffles at once
-        rows = prefixes(classes).where(F.pmod("w", F.lit(PASSES)) == part)
-        parts.append(scratch.save(_on_word(rows, rows, _may_match(t), "left_semi")))
-        scratch.release()
-    members = functools.reduce(DataFrame.unionByName, parts)
-    if not members.limit(1).count():
+    members = _candidates(classes, t, scratch)
+    if members is None:
         return None
     ends = scratch.save(members.select(*KEY).distinct())
     near = lines.where(_in_bitmap(ends, "k1", scratch)).select(*KEY, "s").join(ends, [*KEY], "left_semi")
@@ -200,7 +244,7 @@ def matched(lines: DataFrame, classes: DataFrame, t: int, scratch: Scratch) -> D
         still = scratch.save(still.join(found, [*KEY], "left_anti"))
     done = done.unionByName(_verified(_pairs(_on_word(still, members, may, "inner")), sets, t, scratch))
     done = scratch.save(done)
-    scratch.drop(*parts, still, sets, ends, sizes)
+    scratch.drop(members, still, sets, ends, sizes)
     scratch.release()
     return done
 
@@ -254,6 +298,6 @@ def deduplicate(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     out = changed.drop("_ld_lines").unionByName(same.withColumn("_ld_text", F.col(text_col)))
     cols = [F.col("_ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        n = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+        n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long")
         cols += [n.alias("n_lines"), F.greatest(F.coalesce(F.size("_ld_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_ld_gone", F.array().cast("array<int>")).alias("removed")]
     return out.select(*cols)

@@ -362,6 +362,37 @@ def test_long_lines_by_signatures_in_parts(spark):
     assert lines.columns == ["id", "th", "ln", "s", "k1", "k2"] and lines.count() == len(rows)
 
 
+def test_lines_of_many_lengths_share_frequent_words(spark, monkeypatch):
+    """Word lists are cut by lengths: most pairs of rows of a word are never met, and no match is lost."""
+    from strataspark.llm.scratch import Scratch
+
+    monkeypatch.setattr(line_dedup, "OFTEN", line_dedup.ONCE)
+    rng = random.Random(14)
+    rows = []
+    for i in range(60):
+        pool = rng.sample(WORDS, min(len(WORDS), 12)) + [f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 60))]
+        rows.append((3 * i, " ".join(pool), None, None, None))
+        for k in (1, 2):  # shorter and longer ones, near the threshold on both sides
+            cut = pool[: max(1, round(len(pool) * rng.uniform(0.7, 1)))]
+            rows.append((3 * i + k, " ".join(cut if rng.random() < 0.5 else [*pool, *[f"x{rng.randrange(1000)}" for _ in range(rng.randint(0, len(pool) // 3))]]), None, None, None))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for t in (50, 80, 95, 100):
+        want = lines_by_hand([(r[0], r[1]) for r in rows], t)
+        got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate(df, threshold=t / 100, counts=True).collect()}
+        assert got == {r[0]: len(want.get((r[0], r[1]), ())) for r in rows}, t
+    scratch = Scratch(spark, "test")
+    lines = scratch.save(line_dedup.split_lines(df, "doc_id", "text"))
+    classes = scratch.save(line_dedup.line_classes(lines, line_dedup.rarity_table(lines, scratch), 80))
+
+    def pairs(key):
+        probe, index = (classes.select("n", F.explode("pre").alias("w")) if key is None else line_dedup.prefixes(classes, 80, key, i) for i in (False, True))
+        return probe.groupBy("w").agg(F.count("*").alias("x")).join(index.groupBy("w").agg(F.count("*").alias("y")), "w").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
+
+    met = sum(pairs(k) or 0 for k in range(line_dedup.PASSES))
+    assert 0 < 3 * met < pairs(None)
+
+
 # ---- 6 -----------------------------------------------------------------------
 
 PII = [
